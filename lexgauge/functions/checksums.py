@@ -78,13 +78,12 @@ def record_checksum(members: dict[str, Column]) -> Column:
     return F.sha2(json_object(members), 256)
 
 
-def variant_checksum(variant: Column) -> Column:
-    """SHA-256 of a VARIANT's canonical JSON.
+def ascii_json(text: Column) -> Column:
+    """JSON text with everything outside printable ASCII escaped.
 
-    A variant keeps object keys sorted, so its JSON text is already canonical
-    but for characters outside ASCII, which can only stand inside strings.
+    Such characters can only stand inside strings, so the whole text is
+    treated alike and what is already escaped stays as it is.
     """
-    text = F.to_json(variant)
     by_char = F.array_join(
         F.transform(
             F.split(text, ""),
@@ -92,7 +91,7 @@ def variant_checksum(variant: Column) -> Column:
         ),
         "",
     )
-    return F.sha2(F.when(text.rlike("^[ -~]*$"), text).otherwise(by_char), 256)
+    return F.when(text.rlike("^[ -~]*$"), text).otherwise(by_char)
 
 
 def bucket_digests(df: DataFrame, checksum: str = "checksum") -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from lexgauge.plans import domain_queries  # noqa: F401
+from lexgauge.plans import (  # noqa: F401
+    contract_queries,
+    domain_queries,
+    ledger_queries,
+    quality_queries,
+)
 from lexgauge.plans.registry import ORACLES, QUERIES, Query
 
 
