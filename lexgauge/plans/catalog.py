@@ -7,6 +7,7 @@ from lexgauge.plans import (  # noqa: F401
     domain_queries,
     ledger_queries,
     quality_queries,
+    stream_queries,
 )
 from lexgauge.plans.registry import ORACLES, QUERIES, Query
 
