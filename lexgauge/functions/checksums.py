@@ -2,96 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexgauge.session import materialize
+
 CHECKSUM_PATTERN = "^[a-f0-9]{64}$"
 
 _LANES = 8
 _LANE_DIGITS = 7  # 28 bits: a bigint sum holds 2**35 rows per bucket
 
-
-def _unicode_escape(code: Column) -> Column:
-    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
-
-
-def _escape_char(char: Column) -> Column:
-    """One character as it stands inside an ASCII-only JSON string."""
-    code = F.ascii(char)
-    beyond = code - F.lit(0x10000)
-    surrogates = F.concat(
-        _unicode_escape(F.lit(0xD800) + F.shiftright(beyond, 10)),
-        _unicode_escape(F.lit(0xDC00) + beyond.bitwiseAND(F.lit(0x3FF))),
-    )
-    named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
-    escaped = F.when(F.lit(False), char)
-    for raw, text in named.items():
-        escaped = escaped.when(char == F.lit(raw), F.lit(text))
-    return (
-        escaped.when((code >= 32) & (code <= 126), char)
-        .when(code > 0xFFFF, surrogates)
-        .otherwise(_unicode_escape(code))
+# JSON text in ASCII: a character outside it can only stand inside a string
+# and becomes a lower-case escape, two of them beyond the basic plane.  Escapes
+# the JSON writer made itself (control characters) are put in lower case.
+_ESCAPE = r"concat(r'\u', lower(lpad(hex({code}), 4, '0')))"
+_ASCII_JSON = (
+    r"CASE WHEN {text} RLIKE r'^[ -~]*$' AND NOT {text} RLIKE r'\\u00[01][A-F]' THEN {text} ELSE "
+    r"array_join(transform(split({lowered}, ''), c -> CASE "
+    r"WHEN ascii(c) BETWEEN 32 AND 126 THEN c "
+    r"WHEN ascii(c) > 65535 THEN concat({high}, {low}) "
+    r"ELSE {single} END), '') END"
+)
+
+
+def _ascii_json(text: str) -> str:
+    lowered = text
+    for digit in "ABCDEF":
+        pattern = rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}"
+        lowered = f"regexp_replace({lowered}, r'{pattern}', '$1{digit.lower()}')"
+    return _ASCII_JSON.format(
+        text=text,
+        lowered=lowered,
+        single=_ESCAPE.format(code="ascii(c)"),
+        high=_ESCAPE.format(code="55296 + shiftright(ascii(c) - 65536, 10)"),
+        low=_ESCAPE.format(code="56320 + ((ascii(c) - 65536) & 1023)"),
     )
 
 
-def escape_ascii(text: Column) -> Column:
-    """Escape a string for JSON, leaving only printable ASCII."""
-    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    by_char = F.array_join(F.transform(F.split(text, ""), _escape_char), "")
-    return F.when(text.rlike("^[ -~]*$"), plain).otherwise(by_char)
-
-
-def json_text(value: Column) -> Column:
-    """A string as JSON; NULL becomes ``null``."""
-    return F.coalesce(F.concat(F.lit('"'), escape_ascii(value), F.lit('"')), F.lit("null"))
-
-
-def json_number(value: Column) -> Column:
-    """An integer as JSON; NULL becomes ``null``."""
-    return F.coalesce(value.cast("string"), F.lit("null"))
-
-
-def json_array(values: Column, element: Callable[[Column], Column]) -> Column:
-    """An array as JSON; NULL becomes ``[]``."""
-    body = F.array_join(F.transform(values, element), ",")
-    return F.concat(F.lit("["), F.coalesce(body, F.lit("")), F.lit("]"))
-
-
-def json_object(members: dict[str, Column]) -> Column:
-    """Members already rendered as JSON, joined under sorted keys."""
-    parts: list[Column] = []
-    for i, key in enumerate(sorted(members)):
-        parts += [F.lit(("," if i else "") + '"' + key + '":'), members[key]]
-    return F.concat(F.lit("{"), *parts, F.lit("}"))
-
-
-def json_object_present(members: dict[str, Column]) -> Column:
-    """Like :func:`json_object`, leaving out members whose value is NULL."""
-    parts = [F.concat(F.lit('"' + key + '":'), members[key]) for key in sorted(members)]
-    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
+def canonical_json(members: dict[str, Column | str]) -> Column:
+    """Members as JSON under sorted keys; nulls are kept.
 
+    Nested structs must name their own members in sorted order.
+    """
+    fields = [
+        (F.col(value) if isinstance(value, str) else value).alias(name)
+        for name, value in sorted(members.items())
+    ]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
-def record_checksum(members: dict[str, Column]) -> Column:
-    """SHA-256 of the canonical JSON of one record."""
-    return F.sha2(json_object(members), 256)
 
+def with_json_checksum(df: DataFrame, text: Column, out: str = "checksum") -> DataFrame:
+    """Add the SHA-256 of canonical JSON text, brought to ASCII first."""
+    return df.withColumn(out, text).withColumn(out, F.expr(f"sha2({_ascii_json(out)}, 256)"))
 
-def ascii_json(text: Column) -> Column:
-    """JSON text with everything outside printable ASCII escaped.
 
-    Such characters can only stand inside strings, so the whole text is
-    treated alike and what is already escaped stays as it is.
-    """
-    by_char = F.array_join(
-        F.transform(
-            F.split(text, ""),
-            lambda c: F.when((F.ascii(c) >= 32) & (F.ascii(c) <= 126), c).otherwise(_escape_char(c)),
-        ),
-        "",
-    )
-    return F.when(text.rlike("^[ -~]*$"), text).otherwise(by_char)
+def with_record_checksum(
+    df: DataFrame, members: dict[str, Column | str], out: str = "checksum"
+) -> DataFrame:
+    """Add the SHA-256 of one record's canonical JSON."""
+    return with_json_checksum(df, canonical_json(members), out)
 
 
 def bucket_digests(df: DataFrame, checksum: str = "checksum") -> DataFrame:
@@ -138,10 +107,11 @@ def ordered_checksum(
     The definition runs through the rows one after the other, so a table over
     ``max_rows`` is refused; :func:`table_digest` serves every size.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(key), F.col(checksum))))
-    if df.limit(max_rows + 1).count() > max_rows:
+    rows = materialize(df.select(key, checksum))
+    if rows.count() > max_rows:
         raise ValueError(f"over {max_rows} rows: use table_digest")
-    return df.agg(
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(key), F.col(checksum))))
+    return rows.agg(
         F.count("*").alias("record_count"),
         F.md5(F.array_join(F.transform(ordered, lambda r: r[checksum]), "")).alias("aggregate_checksum"),
     )

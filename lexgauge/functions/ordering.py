@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +22,8 @@ def with_row_number(df: DataFrame, order_by: list[Column | str], out: str = "row
     slice, so a hot leading key spreads over several slices.  The slices are
     written once; only their sizes, one row per slice, are summed centrally.
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialize(
-        df.repartitionByRange(slices, *order_by)
+        df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_place", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_place", _PARTITION_SHIFT))
@@ -58,6 +60,10 @@ def with_row_number_per(
     )
 
 
+def _sql_array(numbers: Iterable[float], kind: str) -> str:
+    return f"CAST(array({', '.join(repr(n) for n in numbers)}) AS array<{kind}>)"
+
+
 def with_ranks(df: DataFrame, ranks: dict[str, Column], total: str | None = None) -> DataFrame:
     """Add competition ranks (ties share the smallest rank, gaps follow).
 
@@ -65,53 +71,51 @@ def with_ranks(df: DataFrame, ranks: dict[str, Column], total: str | None = None
     pass a negated value for descending.  NULL ranks last.  ``total`` names a
     column for the row count.
 
-    Each ranking works on the distinct values with their row counts: they are
-    cut into slices at fixed quantiles, summed inside the slices, and joined
-    back.  ``df`` should be a written table, as it is read several times.
+    All rankings work on their distinct values with the row counts, which are
+    written once.  The values are cut into slices at quantiles and counted up
+    inside each slice; only the cuts and the slice sizes, a few dozen numbers
+    per ranking, pass through the driver.  ``df`` is read twice and should be
+    a written table.
     """
+    names = list(ranks)
+    pairs = [
+        F.struct(F.lit(i).alias("_rank"), ranks[name].cast("double").alias("_value"))
+        for i, name in enumerate(names)
+    ]
+    values = materialize(
+        df.select(F.inline(F.array(*pairs)))
+        .groupBy("_rank", "_value")
+        .agg(F.count("*").alias("_count"))
+    )
     probs = [i / _RANK_SLICES for i in range(1, _RANK_SLICES)]
-    summary = df.agg(
-        F.count("*").alias("_rows"),
-        *[
-            F.percentile_approx(value.cast("double"), probs, 10_000).alias(out)
-            for out, value in ranks.items()
-        ],
-    ).first()
+    quantiles = values.groupBy("_rank").agg(F.percentile_approx("_value", probs, 10_000).alias("cuts"))
+    cuts = {row["_rank"]: sorted(set(row["cuts"] or [])) for row in quantiles.collect()}
+    all_cuts = ", ".join(_sql_array(cuts.get(i, []), "double") for i in range(len(names)))
+    sliced = values.withColumn(
+        "_slice",
+        F.expr(
+            f"CASE WHEN _value IS NULL THEN {_RANK_SLICES} "
+            f"ELSE size(filter(get(array({all_cuts}), _rank), c -> c <= _value)) END"
+        ),
+    )
+    sizes = sliced.groupBy("_rank", "_slice").agg(F.sum("_count").alias("_size"))
+    found = {(row["_rank"], row["_slice"]): row["_size"] for row in sizes.collect()}
+    ahead = ", ".join(
+        _sql_array(accumulate((found.get((i, s), 0) for s in range(_RANK_SLICES)), initial=0), "bigint")
+        for i in range(len(names))
+    )
+    ranked = sliced.selectExpr(
+        "_rank",
+        "_value",
+        f"get(get(array({ahead}), _rank), _slice) + 1 + coalesce(sum(_count) OVER "
+        "(PARTITION BY _rank, _slice ORDER BY _value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+        "AS _place",
+    )
     result = df
-    for out, value in ranks.items():
-        cuts = F.array(*[F.lit(c) for c in sorted(set(summary[out] or []))]).cast("array<double>")
-        values = (
-            df.groupBy(value.cast("double").alias("_value"))
-            .agg(F.count("*").alias("_count"))
-            .withColumn(
-                "_slice",
-                F.when(F.col("_value").isNull(), F.lit(_RANK_SLICES + 1)).otherwise(
-                    F.size(F.filter(cuts, lambda c: c <= F.col("_value")))
-                ),
-            )
-        )
-        before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (
-            values.groupBy("_slice")
-            .agg(F.sum("_count").alias("_size"))
-            # At most _RANK_SLICES + 1 rows reach this window and the broadcast.
-            .select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-        )
-        inside = (
-            Window.partitionBy("_slice")
-            .orderBy(F.col("_value").asc_nulls_last())
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        ranked = (
-            values.withColumn("_ahead", F.coalesce(F.sum("_count").over(inside), F.lit(0)))
-            .join(F.broadcast(offsets), "_slice")
-            .select("_value", (F.col("_offset") + F.col("_ahead") + 1).cast("bigint").alias(out))
-        )
-        result = (
-            result.withColumn("_key", value.cast("double"))
-            .join(ranked, F.col("_key").eqNullSafe(F.col("_value")))
-            .drop("_key", "_value")
-        )
+    for i, name in enumerate(names):
+        places = ranked.filter(F.col("_rank") == i).select("_value", F.col("_place").alias(name))
+        result = result.join(places, ranks[name].cast("double").eqNullSafe(F.col("_value"))).drop("_value")
     if total:
-        result = result.withColumn(total, F.lit(summary["_rows"]).cast("bigint"))
+        rows = sum(size for (i, _), size in found.items() if i == 0)
+        result = result.withColumn(total, F.lit(rows).cast("bigint"))
     return result

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgauge.functions.checksums import json_number, json_text, record_checksum
+from lexgauge.functions.checksums import with_record_checksum
 from lexgauge.functions.ordering import with_row_number, with_row_number_per
 
 RETENTION_DAYS = 30
@@ -30,16 +30,9 @@ def at(moment: datetime) -> Column:
 # -- checkpoints ------------------------------------------------------------
 
 
-def checkpoint_hash() -> Column:
-    return record_checksum(
-        {
-            "run_id": json_text(F.col("run_id")),
-            "agency_id": json_text(F.col("agency_id")),
-            "payload": json_text(F.col("payload")),
-            "last_step": json_text(F.col("last_step")),
-            "event_count": json_number(F.col("event_count")),
-        }
-    )
+def with_checkpoint_hash(checkpoints: DataFrame, out: str = "checkpoint_hash") -> DataFrame:
+    names = ["run_id", "agency_id", "payload", "last_step", "event_count"]
+    return with_record_checksum(checkpoints, {n: n for n in names}, out)
 
 
 def latest_checkpoints(saves: DataFrame) -> DataFrame:
@@ -52,7 +45,7 @@ def latest_checkpoints(saves: DataFrame) -> DataFrame:
     order = F.struct("saved_at", "save_id")
     first = F.min(F.struct(order, "agency_id", "provider_name", "model", "status"))
     last = F.max(F.struct(order, "payload", "last_step"))
-    return (
+    folded = (
         saves.groupBy("run_id")
         .agg(first.alias("first"), last.alias("last"), F.count("*").alias("event_count"))
         .select(
@@ -68,15 +61,14 @@ def latest_checkpoints(saves: DataFrame) -> DataFrame:
             F.col("last.col1.saved_at").alias("updated_at"),
         )
         .withColumn("expires_at", F.col("created_at") + F.make_dt_interval(F.lit(RETENTION_DAYS)))
-        .withColumn("checkpoint_hash", checkpoint_hash())
     )
+    return with_checkpoint_hash(folded)
 
 
 def verify_integrity(checkpoints: DataFrame, as_of: datetime) -> DataFrame:
     """Stored hash against the recomputed one, with the time of a mismatch."""
-    verified = checkpoint_hash()
     valid = F.col("checkpoint_hash") == F.col("verified_hash")
-    return checkpoints.withColumn("verified_hash", verified).select(
+    return with_checkpoint_hash(checkpoints, "verified_hash").select(
         "run_id",
         F.col("checkpoint_hash").alias("computed_hash"),
         "verified_hash",

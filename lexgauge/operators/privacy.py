@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgauge.functions.checksums import json_number, json_object, json_text, table_digest
+from lexgauge.functions.checksums import table_digest, with_record_checksum
 
 MIN_GROUP_SIZE = 5
 
@@ -103,16 +103,13 @@ def link(left: DataFrame, right: DataFrame, authorized: bool = False) -> DataFra
     return side(left, "left").join(side(right, "right"), "token")
 
 
-def row_json(df: DataFrame) -> Column:
-    """A row as canonical JSON: integers as numbers, the rest as text."""
-    return json_object(
-        {
-            name: json_number(F.col(name))
-            if kind in ("int", "bigint")
-            else json_text(F.col(name).cast("string"))
-            for name, kind in df.dtypes
-        }
-    )
+def with_row_checksum(df: DataFrame) -> DataFrame:
+    """A checksum over all columns: integers as numbers, the rest as text."""
+    members = {
+        name: F.col(name) if kind in ("int", "bigint") else F.col(name).cast("string")
+        for name, kind in df.dtypes
+    }
+    return with_record_checksum(df, members)
 
 
 def provenance(steps: Sequence[tuple[str, str, DataFrame, DataFrame]]) -> DataFrame:
@@ -122,7 +119,7 @@ def provenance(steps: Sequence[tuple[str, str, DataFrame, DataFrame]]) -> DataFr
     """
     result = None
     for number, (name, transform, before, after) in enumerate(steps, start=1):
-        digest = table_digest(after.select(F.sha2(row_json(after), 256).alias("checksum")), name)
+        digest = table_digest(with_row_checksum(after), name)
         row = digest.select(
             F.lit(number).alias("step_number"),
             F.lit(name).alias("step"),

@@ -18,7 +18,6 @@ from lexgauge.plans.sql import (
     lane_digest,
     with_,
 )
-from lexgauge.sources import domain as dom
 from lexgauge.sources import runs
 from lexgauge.sources.domain import load_domain
 from lexgauge.sources.tables import read_table
@@ -481,9 +480,9 @@ _ARCHIVED = {
 def _(spark, sf_dir):
     domain = load_domain(spark, sf_dir)
     tables = {
-        "agencies": domain.agencies,
-        "cfr_references": domain.references.withColumn("checksum", dom.reference_checksum()),
-        "corrections": domain.corrections,
+        "agencies": domain.stored_agencies(),
+        "cfr_references": domain.stored_references(),
+        "corrections": domain.stored_corrections(),
     }
     return profiles.archival_manifest(
         {name: df.select(*_ARCHIVED[name][1].split(",")) for name, df in tables.items()}
@@ -510,4 +509,6 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     domain = load_domain(spark, sf_dir)
-    return profiles.verify_archive(domain.corrections, snapshots.later(domain).corrections)
+    return profiles.verify_archive(
+        domain.stored_corrections(), snapshots.later(domain).stored_corrections()
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgauge.session import materialize
 from lexgauge.sources.domain import Domain, reference_words
 
 AGENCY_METRICS = [
@@ -39,13 +40,14 @@ def metrics_mart(domain: Domain) -> DataFrame:
     A correction counts for every agency that refers to its title.  Because
     ``ecfr_id`` is unique, corrections are summed per title first and the
     many-to-many join only meets titles; references collapse to (agency,
-    title) before they are shuffled.
+    title) before they are shuffled.  The title table is written first, so
+    that the planner knows its size and broadcasts it only if it is small.
     """
     by_title = domain.references.groupBy("agency_slug", "title").agg(
         F.count("*").alias("references"), F.sum(reference_words()).alias("words")
     )
     per_agency = (
-        by_title.join(title_activity(domain.corrections), "title", "left")
+        by_title.join(materialize(title_activity(domain.corrections)), "title", "left")
         .groupBy(F.col("agency_slug").alias("slug"))
         .agg(
             F.sum("references").alias("references"),
@@ -190,7 +192,7 @@ def summary_overview(domain: Domain) -> DataFrame:
 def agency_year_matrix(domain: Domain) -> DataFrame:
     """Corrections per agency and year, long form."""
     titles = domain.references.select("agency_slug", "title").distinct()
-    yearly = domain.corrections.groupBy("title", "year").agg(F.count("*").alias("n"))
+    yearly = materialize(domain.corrections.groupBy("title", "year").agg(F.count("*").alias("n")))
     return (
         titles.join(yearly, "title")
         .groupBy("agency_slug", "year")

@@ -11,7 +11,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgauge.functions.checksums import table_digest
 from lexgauge.operators import contracts, quality, steps
 from lexgauge.operators.profiles import archival_manifest
 from lexgauge.plans import marts, reports
@@ -42,7 +41,7 @@ class Run:
 
 
 def _checks(run: Run) -> int:
-    corrections, agencies = run.domain.corrections, run.domain.agencies
+    corrections, agencies = run.domain.stored_corrections(), run.domain.agencies
     checks = [
         quality.extra_copies(corrections, ["ecfr_id"], "unique corrections.ecfr_id"),
         quality.extra_copies(agencies, ["slug"], "unique agencies.slug"),
@@ -51,9 +50,12 @@ def _checks(run: Run) -> int:
     return run.write(quality.report(checks), "source_checks")
 
 
+def _stored(run: Run) -> dict[str, DataFrame]:
+    return {"agencies": run.domain.stored_agencies(), "corrections": run.domain.stored_corrections()}
+
+
 def _digests(run: Run) -> int:
-    tables = {"agencies": run.domain.agencies, "corrections": run.domain.corrections}
-    return run.write(archival_manifest(tables), "checksums")
+    return run.write(archival_manifest(_stored(run)), "checksums")
 
 
 def _csv(run: Run) -> int:
@@ -64,17 +66,14 @@ def _csv(run: Run) -> int:
 
 def _verify(run: Run) -> int:
     then = run.spark.read.parquet(f"{run.folder}/archive").select("table_name", "aggregate_checksum")
-    now = table_digest(run.domain.agencies, "agencies").unionByName(
-        table_digest(run.domain.corrections, "corrections")
-    )
+    now = archival_manifest(_stored(run)).drop("columns")
     compared = now.join(then.withColumnRenamed("aggregate_checksum", "archived"), "table_name")
     verdict = compared.withColumn("matches", F.col("archived") == F.col("aggregate_checksum"))
     return run.write(verdict, "archive_verification")
 
 
 def _archive(run: Run) -> int:
-    tables = {"agencies": run.domain.agencies, "corrections": run.domain.corrections}
-    return run.write(archival_manifest(tables), "archive")
+    return run.write(archival_manifest(_stored(run)), "archive")
 
 
 # Steps with work behind them; the others are only named and end as "no_job".

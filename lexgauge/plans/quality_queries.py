@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from lexgauge.functions.checksums import (
     CHECKSUM_PATTERN,
-    json_number,
     ordered_checksum,
-    record_checksum,
     table_digest,
+    with_record_checksum,
 )
 from lexgauge.operators import quality, snapshots
 from lexgauge.plans import marts, reports
@@ -30,7 +29,7 @@ from lexgauge.sources import nested, parsing
 from lexgauge.sources.copies import landed_corrections, serving_agencies
 from lexgauge.sources.domain import load_domain
 from lexgauge.sources.json_files import file_checksums, ingestion_log
-from lexgauge.sources.tables import TABLES, read_table
+from lexgauge.sources.tables import SCHEMAS, read_table
 
 # -- nested sources ---------------------------------------------------------
 
@@ -134,7 +133,7 @@ def _(spark, sf_dir):
 @query("ingestion_log")
 def _(spark, sf_dir):
     counts = None
-    for name in TABLES:
+    for name in SCHEMAS:
         rows = (
             read_table(spark, sf_dir, name)
             .groupBy(F.col("_metadata.file_path").alias("file_path"))
@@ -149,7 +148,8 @@ def _(spark, sf_dir):
 
 @query("record_checksum", with_(CORRECTIONS) + "SELECT ecfr_id, checksum FROM corrections")
 def _(spark, sf_dir):
-    return dom.corrections(spark, sf_dir).select("ecfr_id", "checksum")
+    rows = dom.with_correction_checksum(dom.corrections(spark, sf_dir))
+    return rows.select("ecfr_id", "checksum")
 
 
 @query(
@@ -165,8 +165,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     names = ["correction_count", "first_year", "last_year", "title"]
-    title_stats = marts.trends_by_title(dom.corrections(spark, sf_dir)).select(
-        "title", record_checksum({n: json_number(F.col(n)) for n in names}).alias("checksum")
+    title_stats = with_record_checksum(
+        marts.trends_by_title(dom.corrections(spark, sf_dir)), {n: n for n in names}
     )
     # One row per title of the code, a closed list of about fifty.
     return ordered_checksum(title_stats, "title")
@@ -186,11 +186,10 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     domain = load_domain(spark, sf_dir)
-    refs = domain.references.withColumn("checksum", dom.reference_checksum())
     return (
-        table_digest(domain.agencies, "agencies")
-        .unionByName(table_digest(refs, "cfr_references"))
-        .unionByName(table_digest(domain.corrections, "corrections"))
+        table_digest(domain.stored_agencies(), "agencies")
+        .unionByName(table_digest(domain.stored_references(), "cfr_references"))
+        .unionByName(table_digest(domain.stored_corrections(), "corrections"))
     )
 
 
@@ -206,7 +205,7 @@ _LANDED = (
 
 
 def _landed(spark, sf_dir):
-    return landed_corrections(dom.corrections(spark, sf_dir))
+    return landed_corrections(dom.with_correction_checksum(dom.corrections(spark, sf_dir)))
 
 
 @query("null_checksums", with_(_LANDED) + "SELECT ecfr_id FROM landed WHERE stored_checksum IS NULL")
@@ -232,9 +231,8 @@ def _(spark, sf_dir):
     WHERE stored_checksum IS DISTINCT FROM {CORRECTION_CHECKSUM}""",
 )
 def _(spark, sf_dir):
-    return quality.mismatches(
-        _landed(spark, sf_dir), "ecfr_id", "stored_checksum", dom.correction_checksum()
-    )
+    computed = dom.with_correction_checksum(_landed(spark, sf_dir), "computed_checksum")
+    return quality.mismatches(computed, "ecfr_id", "stored_checksum", F.col("computed_checksum"))
 
 
 @query(
@@ -401,7 +399,9 @@ _SNAPSHOTS = (
 def _(spark, sf_dir):
     domain = load_domain(spark, sf_dir)
     return snapshots.snapshot_diff(
-        snapshots.earlier(domain).corrections, snapshots.later(domain).corrections, "ecfr_id"
+        snapshots.earlier(domain).stored_corrections(),
+        snapshots.later(domain).stored_corrections(),
+        "ecfr_id",
     )
 
 
@@ -422,7 +422,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     domain = load_domain(spark, sf_dir)
     return snapshots.impact_score(
-        snapshots.earlier(domain).corrections, snapshots.later(domain).corrections
+        snapshots.earlier(domain).stored_corrections(), snapshots.later(domain).stored_corrections()
     )
 
 
@@ -577,11 +577,11 @@ def _(spark, sf_dir):
     return quality.report(
         [
             quality.tallies(
-                landed,
+                dom.with_correction_checksum(landed, "computed_checksum"),
                 {
                     "null_checksums": stored.isNull(),
                     "checksum_format": ~stored.rlike(CHECKSUM_PATTERN),
-                    "checksum_verify": ~stored.eqNullSafe(dom.correction_checksum()),
+                    "checksum_verify": ~stored.eqNullSafe(F.col("computed_checksum")),
                     "lag_recheck": ~F.col("stored_lag").eqNullSafe(
                         F.date_diff("error_corrected", "error_occurred")
                     ),

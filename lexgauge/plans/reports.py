@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexgauge.functions.ordering import with_ranks, with_row_number
 from lexgauge.plans import marts
 from lexgauge.session import materialize
-from lexgauge.sources.domain import Domain
+from lexgauge.sources.domain import Domain, with_correction_checksum, with_reference_counts
 
 # Row caps of the top lists, report weights in percent, grades.
 VIEW_CAP = 50
@@ -40,7 +40,7 @@ AGENCY_SORTS = {"name": "name", "references": "total_cfr_references", "children"
 
 
 def _stored_agencies(domain: Domain) -> DataFrame:
-    return domain.agencies.select(
+    return with_reference_counts(domain.agencies, domain.references).select(
         "slug",
         "name",
         "short_name",
@@ -233,6 +233,8 @@ def recent_corrections(corrections: DataFrame) -> DataFrame:
 
 def corrections_for_agency(domain: Domain, slug: str, limit: int = 100) -> DataFrame:
     titles = domain.references.filter(F.col("agency_slug") == slug).select("title").distinct()
+    # Written first: with its size known, the corrections need no shuffle.
+    titles = materialize(titles)
     return (
         domain.corrections.select(*CORRECTION_COLUMNS)
         .join(titles, "title", "left_semi")
@@ -363,7 +365,7 @@ def scorecard_change(before: Domain, after: Domain, weights: dict[str, int]) ->
 
 def export_agencies(domain: Domain) -> DataFrame:
     return with_row_number(
-        domain.agencies.select(
+        domain.stored_agencies().select(
             "slug",
             "name",
             "short_name",
@@ -378,7 +380,7 @@ def export_agencies(domain: Domain) -> DataFrame:
 
 def export_corrections(corrections: DataFrame) -> DataFrame:
     return with_row_number(
-        corrections.select(*CORRECTION_COLUMNS, "checksum"),
+        with_correction_checksum(corrections).select(*CORRECTION_COLUMNS, "checksum"),
         ["ecfr_id"],
         "id",
     )

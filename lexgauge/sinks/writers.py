@@ -56,7 +56,7 @@ def jdbc_target(url: str, batch_size: int = 1000, **options: str) -> Target:
 def serving_tables(domain: Domain) -> dict[str, DataFrame]:
     """The tables the serving store holds."""
     return {
-        "agencies": domain.agencies.select(
+        "agencies": domain.stored_agencies().select(
             "slug",
             "name",
             "short_name",
@@ -65,7 +65,7 @@ def serving_tables(domain: Domain) -> dict[str, DataFrame]:
             "child_count",
             "checksum",
         ),
-        "corrections": domain.corrections,
+        "corrections": domain.stored_corrections(),
         "agency_metrics": marts.serving_metrics(domain).select(
             F.col("slug").alias("agency_slug"),
             "total_corrections",
@@ -96,8 +96,8 @@ def transfer(
             seen = Observation(name)
             target(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
             moved[name] = seen.get["rows"]
-        digests = table_digest(kept.agencies, "agencies").unionByName(
-            table_digest(kept.corrections, "corrections")
+        digests = table_digest(kept.stored_agencies(), "agencies").unionByName(
+            table_digest(kept.stored_corrections(), "corrections")
         )
         target(digests, "data_checksums")
     except Exception as error:

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgauge.functions.checksums import json_array, json_number, json_object, json_text, record_checksum
+from lexgauge.functions.checksums import with_record_checksum
 from lexgauge.sources.tables import read_table
 
 # Estimated words per reference by how specific it is.
@@ -22,7 +22,11 @@ WORDS_PER_TITLE = 50_000
 
 @dataclass(frozen=True)
 class Domain:
-    """The three parsed tables every mart and report starts from."""
+    """The three parsed tables every mart and report starts from.
+
+    Stored reference counts and checksums are added where they are asked for,
+    so that other jobs do not carry them along.
+    """
 
     agencies: DataFrame
     references: DataFrame
@@ -31,63 +35,48 @@ class Domain:
     def with_(self, **tables: DataFrame) -> Domain:
         return replace(self, **tables)
 
+    def stored_agencies(self) -> DataFrame:
+        return with_agency_checksum(with_reference_counts(self.agencies, self.references))
+
+    def stored_references(self) -> DataFrame:
+        return with_reference_checksum(self.references)
 
-def correction_checksum() -> Column:
+    def stored_corrections(self) -> DataFrame:
+        return with_correction_checksum(self.corrections)
+
+
+def with_correction_checksum(corrections: DataFrame, out: str = "checksum") -> DataFrame:
     """SHA-256 over the eight published fields of a parsed correction."""
-    reference = json_object(
-        {
-            "cfr_reference": json_text(F.col("cfr_reference")),
-            "hierarchy": json_object(
-                {
-                    "chapter": json_text(F.col("chapter")),
-                    "part": json_text(F.col("part")),
-                    "section": json_text(F.col("section")),
-                }
-            ),
-        }
-    )
-    return record_checksum(
+    reference = F.struct("cfr_reference", F.struct("chapter", "part", "section").alias("hierarchy"))
+    return with_record_checksum(
+        corrections,
         {
-            "id": json_number(F.col("ecfr_id")),
-            "cfr_references": F.concat(F.lit("["), reference, F.lit("]")),
-            "corrective_action": json_text(F.col("corrective_action")),
-            "error_corrected": json_text(F.col("error_corrected").cast("string")),
-            "error_occurred": json_text(F.col("error_occurred").cast("string")),
-            "fr_citation": json_text(F.col("fr_citation")),
-            "title": json_number(F.col("title")),
-            "year": json_number(F.col("year")),
-        }
+            "id": "ecfr_id",
+            "cfr_references": F.array(reference),
+            "corrective_action": "corrective_action",
+            "error_corrected": F.col("error_corrected").cast("string"),
+            "error_occurred": F.col("error_occurred").cast("string"),
+            "fr_citation": "fr_citation",
+            "title": "title",
+            "year": "year",
+        },
+        out,
     )
 
 
-def agency_checksum() -> Column:
+def with_agency_checksum(agencies: DataFrame) -> DataFrame:
     """SHA-256 over a parsed agency.
 
     The flat table knows references and children by their counts; the nested
     source (:mod:`lexgauge.sources.json_files`) hashes them in full.
     """
-    return record_checksum(
-        {
-            "name": json_text(F.col("name")),
-            "short_name": json_text(F.col("short_name")),
-            "slug": json_text(F.col("slug")),
-            "parent_slug": json_text(F.col("parent_slug")),
-            "cfr_reference_count": json_number(F.col("cfr_reference_count")),
-            "child_count": json_number(F.col("child_count")),
-        }
-    )
+    names = ["name", "short_name", "slug", "parent_slug", "cfr_reference_count", "child_count"]
+    return with_record_checksum(agencies, {n: n for n in names})
 
 
-def reference_checksum() -> Column:
-    return record_checksum(
-        {
-            "agency_slug": json_text(F.col("agency_slug")),
-            "title": json_number(F.col("title")),
-            "chapter": json_text(F.col("chapter")),
-            "subtitle": json_text(F.col("subtitle")),
-            "part": json_text(F.col("part")),
-        }
-    )
+def with_reference_checksum(refs: DataFrame) -> DataFrame:
+    names = ["agency_slug", "title", "chapter", "subtitle", "part"]
+    return with_record_checksum(refs, {n: n for n in names})
 
 
 def reference_words() -> Column:
@@ -131,7 +120,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.alias("subtitle"),
         none.alias("part"),
     )
-    owner = F.col("p_partkey") % supplier.agg(F.count("*")).scalar()
+    owner = F.col("p_partkey") % supplier.count()
     parts = part.withColumn("owner", owner).filter("owner <> 3").select(
         F.concat(F.lit("supplier-"), "owner").alias("agency_slug"),
         F.col("p_size").alias("title"),
@@ -179,18 +168,15 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_diff("error_corrected", "error_occurred").alias("lag_days"),
         F.concat(F.year("error_occurred"), F.lit(" FR "), F.col("o_custkey")).alias("fr_citation"),
         F.year("error_occurred").alias("year"),
-    ).withColumn("checksum", correction_checksum())
+    )
 
 
-def with_counts(agencies: DataFrame, refs: DataFrame) -> DataFrame:
-    """Add stored reference and child counts and the record checksum."""
-    ref_counts = refs.groupBy(F.col("agency_slug").alias("slug")).agg(F.count("*").alias("_refs"))
+def with_reference_counts(agencies: DataFrame, refs: DataFrame) -> DataFrame:
+    counts = refs.groupBy(F.col("agency_slug").alias("slug")).agg(F.count("*").alias("_refs"))
     return (
-        with_child_counts(agencies)
-        .join(ref_counts, "slug", "left")
+        agencies.join(counts, "slug", "left")
         .withColumn("cfr_reference_count", F.coalesce("_refs", F.lit(0)).cast("bigint"))
         .drop("_refs")
-        .withColumn("checksum", agency_checksum())
     )
 
 
@@ -208,9 +194,8 @@ def with_child_counts(agencies: DataFrame) -> DataFrame:
 
 
 def load_domain(spark: SparkSession, sf_dir: str) -> Domain:
-    refs = references(spark, sf_dir)
     return Domain(
-        agencies=with_counts(agency_rows(spark, sf_dir), refs),
-        references=refs,
+        agencies=with_child_counts(agency_rows(spark, sf_dir)),
+        references=references(spark, sf_dir),
         corrections=corrections(spark, sf_dir),
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgauge.functions.checksums import ascii_json
+from lexgauge.functions.checksums import with_json_checksum
 from lexgauge.sources.parsing import length_or_zero, parse_corrections
 
 AGENCIES_ROOT = "agencies"
@@ -50,30 +50,37 @@ def _without_checksum(record: Column) -> Column:
     return F.to_json(members)
 
 
-def _canonical(parts: dict[str, Column]) -> Column:
+def _object(parts: dict[str, Column]) -> Column:
     pieces: list[Column] = []
     for i, name in enumerate(sorted(parts)):
         pieces += [F.lit(("," if i else "{") + f'"{name}":'), parts[name]]
-    return ascii_json(F.concat(*pieces, F.lit("}")))
+    return F.concat(*pieces, F.lit("}"))
 
 
-def agency_checksum(record: Column) -> Column:
-    """SHA-256 over name, short name, slug, references and children."""
+def _members(record: Column, names: list[str]) -> dict[str, Column]:
+    parts = {n: F.coalesce(_member(record, n), F.lit("null")) for n in names}
+    parts["cfr_references"] = F.coalesce(_member(record, "cfr_references"), F.lit("[]"))
+    return parts
+
+
+def with_agency_checksum(rows: DataFrame, record: str = "record") -> DataFrame:
+    """SHA-256 over name, short name, slug, references and children.
+
+    A variant keeps object keys sorted, so its JSON text is canonical.
+    """
+    parts = _members(F.col(record), ["name", "short_name", "slug"])
     listed = F.variant_get(record, "$.children", "array<variant>")
-    children = F.concat(
+    parts["children"] = F.concat(
         F.lit("["),
         F.coalesce(F.array_join(F.transform(listed, _without_checksum), ","), F.lit("")),
         F.lit("]"),
     )
-    parts = {n: F.coalesce(_member(record, n), F.lit("null")) for n in ("name", "short_name", "slug")}
-    parts["cfr_references"] = F.coalesce(_member(record, "cfr_references"), F.lit("[]"))
-    parts["children"] = children
-    return F.sha2(_canonical(parts), 256)
+    return with_json_checksum(rows, _object(parts))
 
 
-def correction_checksum(record: Column) -> Column:
+def with_correction_checksum(rows: DataFrame, record: str = "record") -> DataFrame:
     """SHA-256 over the eight published fields."""
-    names = (
+    names = [
         "id",
         "corrective_action",
         "error_corrected",
@@ -81,10 +88,8 @@ def correction_checksum(record: Column) -> Column:
         "fr_citation",
         "title",
         "year",
-    )
-    parts = {n: F.coalesce(_member(record, n), F.lit("null")) for n in names}
-    parts["cfr_references"] = F.coalesce(_member(record, "cfr_references"), F.lit("[]"))
-    return F.sha2(_canonical(parts), 256)
+    ]
+    return with_json_checksum(rows, _object(_members(F.col(record), names)))
 
 
 def load_agencies(
@@ -110,11 +115,8 @@ def load_agencies(
         ).alias("entry")
     ).select("entry.record", "entry.parent_slug")
     parsed_record = F.from_json(F.to_json("record"), AGENCY_TYPE)
-    rows = everyone.select(
-        parsed_record.alias("agency"),
-        "parent_slug",
-        F.to_json("record").alias("data"),
-        agency_checksum(F.col("record")).alias("checksum"),
+    rows = with_agency_checksum(everyone).select(
+        parsed_record.alias("agency"), "parent_slug", F.to_json("record").alias("data"), "checksum"
     )
     identity = ["agency.slug", "agency.name", "agency.short_name", "parent_slug"]
     raw = rows.select(*identity, "data", "checksum")
@@ -138,17 +140,16 @@ def load_corrections(
 ) -> tuple[DataFrame, DataFrame]:
     """Raw landing rows and parsed corrections of one file or folder."""
     records = read_records(spark, path, CORRECTIONS_ROOT, layout)
-    raw = records.select(
+    rows = with_correction_checksum(records)
+    raw = rows.select(
         F.variant_get("record", "$.id", "bigint").alias("ecfr_id"),
         F.to_json("record").alias("data"),
-        correction_checksum(F.col("record")).alias("checksum"),
+        "checksum",
     )
-    documents = records.select(
-        F.from_json(F.to_json("record"), CORRECTION_TYPE).alias("correction"),
-        correction_checksum(F.col("record")).alias("checksum"),
+    documents = rows.select(
+        F.from_json(F.to_json("record"), CORRECTION_TYPE).alias("correction"), "checksum"
     )
-    parsed = parse_corrections(documents.select("correction", "checksum"), keep=["checksum"])
-    return raw, parsed
+    return raw, parse_corrections(documents, keep=["checksum"])
 
 
 def file_checksums(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:

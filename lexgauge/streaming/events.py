@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-EVENT_SCHEMA = (
-    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-)
+from lexgauge.sources.tables import SCHEMAS
 
 _COPY_SALTS = 16
 
@@ -19,7 +17,7 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
     Watermarks need a TIMESTAMP, so the zone-free time is read in the session
     zone and must be turned back the same way.
     """
-    reader = spark.readStream.schema(EVENT_SCHEMA)
+    reader = spark.readStream.schema(SCHEMAS["events"])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
