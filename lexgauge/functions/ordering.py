@@ -49,10 +49,11 @@ def with_row_number_per(
     """Number the rows of each ``key`` by ``order_by``, ``start`` first.
 
     The global number minus the key's smallest global number; no key's rows
-    have to meet in one task.
+    have to meet in one task.  The smallest numbers are written first, so that
+    the planner knows whether they are few enough to broadcast.
     """
     numbered = with_row_number(df, [key, *order_by], "_global")
-    firsts = numbered.groupBy(key).agg(F.min("_global").alias("_first"))
+    firsts = materialize(numbered.groupBy(key).agg(F.min("_global").alias("_first")))
     return (
         numbered.join(firsts, key)
         .withColumn(out, (F.col("_global") - F.col("_first") + start).cast("bigint"))

@@ -253,12 +253,12 @@ def first_manifest_error() -> Column:
 
 def classify_errors(df: DataFrame, error_class: str) -> DataFrame:
     """Add status code and retry flag; unknown classes get the general ones."""
-    classes = df.sparkSession.createDataFrame(
-        ERROR_CLASSES, f"{error_class} string, _status int, _retry boolean"
+    rows = ", ".join(f"('{name}', {status}, {retry})" for name, status, retry in ERROR_CLASSES)
+    classes = df.sparkSession.sql(
+        f"SELECT * FROM VALUES {rows} AS classes({error_class}, _status, _retry)"
     )
-    # A fixed list of seven rows.
     return (
-        df.join(F.broadcast(classes), error_class, "left")
+        df.join(classes, error_class, "left")
         .withColumn("http_status", F.coalesce("_status", F.lit(UNKNOWN_ERROR[0])))
         .withColumn("retryable", F.coalesce("_retry", F.lit(UNKNOWN_ERROR[1])))
         .drop("_status", "_retry")

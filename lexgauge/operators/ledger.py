@@ -190,11 +190,11 @@ def foreign_rows(df: DataFrame, agency_id: str) -> DataFrame:
 
 def with_access(requests: DataFrame) -> DataFrame:
     """Add what each request's role may do; other agencies' rows are closed."""
-    roles = requests.sparkSession.createDataFrame(ROLES, "role string, _view boolean, _modify boolean")
+    rows = ", ".join(f"('{role}', {view}, {modify})" for role, view, modify in ROLES)
+    roles = requests.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS roles(role, _view, _modify)")
     own = F.col("user_agency_id") == F.col("agency_id")
-    # A fixed list of four rows.
     return (
-        requests.join(F.broadcast(roles), "role", "left")
+        requests.join(roles, "role", "left")
         .withColumn("can_view", F.coalesce(own & F.col("_view"), F.lit(False)))
         .withColumn("can_modify", F.coalesce(own & F.col("_modify"), F.lit(False)))
         .drop("_view", "_modify")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgauge.functions.checksums import table_digest, with_record_checksum
+from lexgauge.session import materialize
 
 MIN_GROUP_SIZE = 5
 
@@ -60,9 +61,10 @@ def k_anonymous(df: DataFrame, quasi: Sequence[str], k: int = MIN_GROUP_SIZE) ->
 
     Rows with an unknown quasi-identifier fall out.  Group sizes are counted
     map-side and only the large enough groups meet the rows again, so a very
-    large group is never gathered.
+    large group is never gathered.  The groups are written first: with their
+    size known, a short list is broadcast and the rows are not shuffled.
     """
-    safe = _group_sizes(df, quasi).filter(F.col("group_size") >= k).drop("group_size")
+    safe = materialize(_group_sizes(df, quasi).filter(F.col("group_size") >= k).drop("group_size"))
     return df.join(safe, list(quasi), "left_semi")
 
 
@@ -140,8 +142,7 @@ def in_clearance(df: DataFrame, manifests: DataFrame, labels: Sequence[str]) ->
 
 def within_retention(df: DataFrame, manifests: DataFrame, time: str, as_of: Column) -> DataFrame:
     """Rows not older than their agency's retention; 0 days keeps for ever."""
-    age = F.timestamp_diff("MICROSECOND", F.col(time), as_of)
-    limit = F.col("retention_days").cast("bigint") * 86_400_000_000
+    oldest = as_of - F.make_dt_interval(F.col("retention_days"))
     return df.join(manifests.select("agency_id", "retention_days"), "agency_id").filter(
-        (F.col("retention_days") == 0) | (age <= limit)
+        (F.col("retention_days") == 0) | (F.col(time) >= oldest)
     )

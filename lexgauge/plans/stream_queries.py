@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from lexgauge.plans.ledger_queries import EVENT_SERIES
 from lexgauge.plans.registry import query
 from lexgauge.session import checkpoint_root
@@ -36,4 +34,4 @@ def _(spark, sf_dir):
     once = stream.read_events(spark, _event_files(sf_dir))
     twice = once.unionByName(stream.read_events(spark, _event_files(sf_dir)))
     stream.write_log(stream.distinct_events(twice), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return spark.read.parquet(f"{folder}/out")

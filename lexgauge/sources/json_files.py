@@ -153,7 +153,11 @@ def load_corrections(
 
 
 def file_checksums(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """Name, size and SHA-256 of whole files; one file is one row."""
+    """Name, size and SHA-256 of whole files.
+
+    The hash runs through a file from front to back, so one file is one task's
+    work; the reader refuses files over 2 GB.
+    """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)

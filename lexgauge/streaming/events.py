@@ -11,29 +11,34 @@ from lexgauge.sources.tables import SCHEMAS
 _COPY_SALTS = 16
 
 
-def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Event files under a folder or glob as a stream; ``ts`` becomes a timestamp.
+# Watermarks need a TIMESTAMP: the zone-free time is counted from the epoch as
+# if it were UTC, whatever the session zone, and turned back the same way.
+_TO_INSTANT = "TIMESTAMP '1970-01-01 00:00:00Z' + ({0} - TIMESTAMP_NTZ '1970-01-01 00:00:00')"
+_TO_LOCAL = "TIMESTAMP_NTZ '1970-01-01 00:00:00' + ({0} - TIMESTAMP '1970-01-01 00:00:00Z')"
 
-    Watermarks need a TIMESTAMP, so the zone-free time is read in the session
-    zone and must be turned back the same way.
-    """
+
+def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Event files under a folder or glob as a stream with the event time ``at``."""
     reader = spark.readStream.schema(SCHEMAS["events"])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(path).withColumn("at", F.expr(_TO_INSTANT.format("ts"))).drop("ts")
 
 
 def daily_activity(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Events per day and type; state of closed days is dropped."""
     return (
-        events.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", "1 day").alias("window"), "event_type")
+        events.withWatermark("at", lateness)
+        .groupBy(F.window("at", "1 day").alias("window"), "event_type")
         .agg(
             F.count("*").alias("event_count"),
             F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total_value"),
         )
         .select(
-            F.col("window.start").cast("date").alias("day"), "event_type", "event_count", "total_value"
+            F.expr(_TO_LOCAL.format("window.start")).cast("date").alias("day"),
+            "event_type",
+            "event_count",
+            "total_value",
         )
     )
 
@@ -73,13 +78,15 @@ def distinct_events(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     event delivered a great many times is first thinned out in several tasks,
     before its last copies meet in one.
     """
-    spread = events.withWatermark("ts", lateness).withColumn(
+    spread = events.withWatermark("at", lateness).withColumn(
         "_salt", F.spark_partition_id() % _COPY_SALTS
     )
     return (
         spread.dropDuplicatesWithinWatermark(["event_id", "_salt"])
         .drop("_salt")
         .dropDuplicatesWithinWatermark(["event_id"])
+        .withColumn("ts", F.expr(_TO_LOCAL.format("at")))
+        .drop("at")
     )
 
 
