@@ -165,9 +165,9 @@ def _broken(rule: Rule, doc: Document) -> Column:
         return F.length(text) > rule.argument
     if rule.name == "items":
         allowed = F.array(*[F.lit(v) for v in rule.argument])
-        return F.size(F.array_except(items, allowed)) > 0
+        return F.array_size(F.array_except(items, allowed)) > 0
     if rule.name == "minItems":
-        return F.size(items) < rule.argument
+        return F.array_size(items) < rule.argument
     number = F.when(doc.is_type(rule.field, "number"), doc.get(rule.field, "double"))
     if rule.name == "minimum":
         return number < rule.argument
@@ -197,7 +197,7 @@ def apply_contract(df: DataFrame, rules: list[Rule], json_text: str) -> DataFram
                 contract_violations(rules, json_text, Document())
             ),
         )
-        .withColumn("accepted", F.size("violations") == 0)
+        .withColumn("accepted", F.array_size("violations") == 0)
     )
 
 

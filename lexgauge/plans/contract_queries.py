@@ -146,7 +146,7 @@ def _(spark, sf_dir):
         .withColumn("found", c.all_payload_errors())
         .select(
             "doc_id",
-            (F.size("found") == 0).alias("valid"),
+            (F.array_size("found") == 0).alias("valid"),
             F.array_join("found", "; ").alias("errors"),
         )
     )

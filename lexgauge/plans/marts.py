@@ -70,7 +70,7 @@ def metrics_mart(domain: Domain) -> DataFrame:
             F.coalesce("references", F.lit(0)).cast("bigint").alias("cfr_reference_count"),
             "child_count",
             total.alias("total_corrections"),
-            F.coalesce(F.size("years"), F.lit(0)).cast("bigint").alias("years_with_corrections"),
+            F.coalesce(F.array_size("years"), F.lit(0)).cast("bigint").alias("years_with_corrections"),
             F.array_min("years").alias("first_correction_year"),
             F.array_max("years").alias("last_correction_year"),
             F.when(F.col("lag_count") > 0, F.col("lag_sum") / F.col("lag_count")).alias(
@@ -135,7 +135,7 @@ def trends_by_title(corrections: DataFrame, places: int = 2) -> DataFrame:
     return title_activity(corrections).select(
         "title",
         F.col("corrections").alias("correction_count"),
-        F.size("years").cast("bigint").alias("years_active"),
+        F.array_size("years").cast("bigint").alias("years_active"),
         F.array_min("years").alias("first_year"),
         F.array_max("years").alias("last_year"),
         F.round(F.when(F.col("lag_count") > 0, F.col("lag_sum") / F.col("lag_count")), places).alias(

@@ -14,7 +14,7 @@ def parse_date(text: Column) -> Column:
 
 
 def length_or_zero(values: Column) -> Column:
-    return F.coalesce(F.size(values), F.lit(0)).cast("bigint")
+    return F.coalesce(F.array_size(values), F.lit(0)).cast("bigint")
 
 
 def flatten_agencies(documents: DataFrame, agency: str = "agency") -> DataFrame:

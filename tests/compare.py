@@ -1,12 +1,15 @@
 """Run named queries next to their SQL twins and compare the rows.
 
-Usage: python -m tests.compare [sf] [name ...]
+Usage: python -m tests.compare [sf or folder] [name ...]
+
+SPARK_CONF may hold more settings, as "key=value,key=value".
 """
 
 from __future__ import annotations
 
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -71,10 +74,11 @@ def main() -> None:
     from lexgauge.session import build_session
 
     args = sys.argv[1:]
-    sf = args.pop(0) if args and args[0][0].isdigit() else "0.01"
-    spark = build_session("compare", "local[8]", 8, spark__ui__enabled="false")
+    place = args.pop(0) if args and args[0][0] in "0123456789/" else "0.01"
+    extra = dict(pair.split("=", 1) for pair in os.environ.get("SPARK_CONF", "").split(",") if pair)
+    spark = build_session("compare", "local[8]", 8, spark__ui__enabled="false", **extra)
     spark.sparkContext.setLogLevel("ERROR")
-    sf_dir = f"/root/testdata/sf{sf}"
+    sf_dir = place if place.startswith("/") else f"/root/testdata/sf{place}"
     connection = duck(sf_dir)
     oracles = entry.oracle_sql()
     bad = 0
