@@ -75,14 +75,16 @@ def k_violations(df: DataFrame, quasi: Sequence[str], k: int = MIN_GROUP_SIZE) -
 
 def link_tokens(df: DataFrame, identifier: str, global_salt: str, agency_salt: str) -> DataFrame:
     """One row per person token: the shared token, the agency's own, record count."""
-    value = F.col(identifier).cast("string")
+    value = F.col("_value").cast("string")
     return (
-        df.filter(value.isNotNull())
-        .groupBy(
+        df.filter(F.col(identifier).isNotNull())
+        .groupBy(F.col(identifier).alias("_value"))
+        .agg(F.count("*").alias("records"))
+        .select(
             salted_hash(value, global_salt).alias("global_hash"),
             salted_hash(value, agency_salt).alias("agency_hash"),
+            "records",
         )
-        .agg(F.count("*").alias("records"))
     )
 
 

@@ -417,3 +417,36 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return marts.hierarchy_totals(load_domain(spark, sf_dir))
+
+
+@query(
+    "latest_years",
+    with_(CORRECTIONS)
+    + """
+    SELECT year, count(*) AS correction_count, round(avg(lag_days), 1) AS avg_lag_days
+    FROM corrections WHERE lag_days IS NOT NULL GROUP BY year ORDER BY year DESC LIMIT 5""",
+)
+def _(spark, sf_dir):
+    return marts.latest_years(dom.corrections(spark, sf_dir))
+
+
+@query(
+    "trends_total",
+    with_(CORRECTIONS)
+    + """
+    SELECT count(*) AS total_corrections, count(DISTINCT year) AS years
+    FROM corrections WHERE error_corrected IS NOT NULL""",
+)
+def _(spark, sf_dir):
+    return marts.trends_total(dom.corrections(spark, sf_dir))
+
+
+@query(
+    "agency_years",
+    with_(CORRECTIONS, REFERENCES)
+    + """
+    SELECT year, count(*) AS correction_count FROM corrections
+    WHERE title IN (SELECT title FROM refs WHERE agency_slug = 'supplier-7') GROUP BY year""",
+)
+def _(spark, sf_dir):
+    return marts.agency_years(load_domain(spark, sf_dir), "supplier-7")

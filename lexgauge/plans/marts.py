@@ -174,6 +174,19 @@ def trends_yearly_serving(corrections: DataFrame) -> DataFrame:
     )
 
 
+def latest_years(corrections: DataFrame, years: int = 5) -> DataFrame:
+    """The newest years of the trend, as the load report lists them."""
+    newest = trends_yearly(corrections).orderBy(F.desc("year")).limit(years)
+    return newest.select("year", "correction_count", "avg_lag_days")
+
+
+def trends_total(corrections: DataFrame) -> DataFrame:
+    """The sum of the yearly totals and the number of years."""
+    return trends_yearly_serving(corrections).agg(
+        F.sum("total_corrections").alias("total_corrections"), F.count("*").alias("years")
+    )
+
+
 def summary_overview(domain: Domain) -> DataFrame:
     facts = domain.corrections.agg(
         F.count("*").alias("total_corrections"),
@@ -200,6 +213,12 @@ def agency_year_matrix(domain: Domain) -> DataFrame:
     )
 
 
+def agency_years(domain: Domain, slug: str) -> DataFrame:
+    """One agency's corrections per year."""
+    one = domain.with_(references=domain.references.filter(F.col("agency_slug") == slug))
+    return agency_year_matrix(one).select("year", "correction_count")
+
+
 def lag_histogram(corrections: DataFrame, width: int = 30) -> DataFrame:
     """Closed corrections in ``width``-day lag classes."""
     low = (F.floor(F.col("lag_days") / width) * width).cast("int")

@@ -24,6 +24,7 @@ from lexgauge.plans.sql import (
     scored,
     with_,
 )
+from lexgauge.session import materialize
 from lexgauge.sources import domain as dom
 from lexgauge.sources import nested, parsing
 from lexgauge.sources.copies import landed_corrections, serving_agencies
@@ -523,7 +524,13 @@ _RELATIONSHIPS = """
 def _(spark, sf_dir):
     agencies = dom.agency_rows(spark, sf_dir)
     served = serving_agencies(agencies)
-    landed = _landed(spark, sf_dir)
+    # Read by two checks: written once, with what they need.
+    landed = materialize(
+        _landed(spark, sf_dir).select(
+            "ecfr_id",
+            *[F.col(n).isNull().alias(f"no_{n}") for n in ("year", "stored_checksum", "cfr_reference")],
+        )
+    )
     return quality.report(
         [
             quality.extra_copies(agencies, ["slug"], "unique agencies.slug"),
@@ -535,9 +542,9 @@ def _(spark, sf_dir):
             quality.tallies(
                 landed,
                 {
-                    "not null corrections.year": F.col("year").isNull(),
-                    "not null corrections.checksum": F.col("stored_checksum").isNull(),
-                    "not null corrections.cfr_reference": F.col("cfr_reference").isNull(),
+                    "not null corrections.year": F.col("no_year"),
+                    "not null corrections.checksum": F.col("no_stored_checksum"),
+                    "not null corrections.cfr_reference": F.col("no_cfr_reference"),
                 },
             ),
             quality.violations(
@@ -571,22 +578,27 @@ def _(spark, sf_dir):
         UNION ALL {_RELATIONSHIPS})""",
 )
 def _(spark, sf_dir):
-    landed = _landed(spark, sf_dir)
     stored = F.col("stored_checksum")
+    row_checks = {
+        "null_checksums": stored.isNull(),
+        "checksum_format": ~stored.rlike(CHECKSUM_PATTERN),
+        "checksum_verify": ~stored.eqNullSafe(F.col("computed_checksum")),
+        "lag_recheck": ~F.col("stored_lag").eqNullSafe(F.date_diff("error_corrected", "error_occurred")),
+    }
+    # Read by four checks: written once, with what they need.
+    landed = materialize(
+        dom.with_correction_checksum(_landed(spark, sf_dir), "computed_checksum").select(
+            "ecfr_id",
+            "year",
+            "error_corrected",
+            "lag_days",
+            *[condition.alias(name) for name, condition in row_checks.items()],
+        )
+    )
     agencies = dom.agency_rows(spark, sf_dir)
     return quality.report(
         [
-            quality.tallies(
-                dom.with_correction_checksum(landed, "computed_checksum"),
-                {
-                    "null_checksums": stored.isNull(),
-                    "checksum_format": ~stored.rlike(CHECKSUM_PATTERN),
-                    "checksum_verify": ~stored.eqNullSafe(F.col("computed_checksum")),
-                    "lag_recheck": ~F.col("stored_lag").eqNullSafe(
-                        F.date_diff("error_corrected", "error_occurred")
-                    ),
-                },
-            ),
+            quality.tallies(landed, {name: F.col(name) for name in row_checks}),
             quality.extra_copies(landed, ["ecfr_id"], "duplicate_corrections"),
             quality.extra_copies(agencies, ["slug"], "duplicate_agencies"),
             quality.violations(

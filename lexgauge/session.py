@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(
     app_name: str = "lexgauge",
@@ -24,6 +26,8 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Stream state beyond the executors' heap.
+        .config("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
     )
     if master:
         builder = builder.master(master)
