@@ -24,7 +24,9 @@ TABLES = (
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for table in TABLES:
-        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+        path = f"{sf_dir}/{table}.parquet"
+        files = f"{path}/*.parquet" if os.path.isdir(path) else path
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{files}'")
     return connection
 
 

@@ -4,6 +4,8 @@ import hashlib
 import json
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexgauge.functions.checksums import with_record_checksum
@@ -129,6 +131,14 @@ def test_json_text_is_ascii_json(spark, text):
     assert row.checksum == digest({"t": text, "a": [{"n": 3, "t": text}]})
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=12), min_size=200, max_size=200))
+def test_checksum_of_any_text(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = {r.n: r.checksum for r in with_record_checksum(df, {"t": "t"}).collect()}
+    assert got == {n: digest({"t": t}) for n, t in enumerate(texts)}
+
+
 def test_file_checksums_and_log(spark, tmp_path):
     (tmp_path / "a.json").write_text("{}")
     (tmp_path / "b.json").write_text("[1]")
