@@ -47,6 +47,18 @@ DEFAULT_CLASSIFICATION = "U"
 DEFAULT_RETENTION_DAYS = 2555
 MAX_RETENTION_DAYS = 36500
 
+# The validators' messages and the hints behind a refused value.
+MISSING_FIELD = "missing required field: "
+NOT_TEXT = " must be a string"
+INVALID = "invalid "
+AGENCY_HINT = " (must be lowercase alphanumeric with hyphens)"
+AGENCY_HINT_STRICT = " (must match pattern: ^[a-z0-9-]+$)"
+CONTENT_TYPE_HINT = " (must be one of: images, documents, text, mixed)"
+STAGE_HINT = " (must be one of: ingest, transform, export, full)"
+MANIFEST_MISSING_FIELD = "manifest missing required field: "
+MANIFEST_INVALID_SLUG = "invalid agency slug: "
+MANIFEST_EMPTY_NAME = "name must be a non-empty string"
+
 # Error class, status code, whether a retry makes sense.
 ERROR_CLASSES = [
     ("VALIDATION_ERROR", 400, False),
@@ -203,26 +215,19 @@ def apply_contract(df: DataFrame, rules: list[Rule], json_text: str) -> DataFram
 
 def _payload_checks(doc: Document, strict: bool) -> list[tuple[Column, Column]]:
     """Conditions with their messages, in reporting order."""
-    required = ["agency", "content_type", "use_case"]
-    checks = [(~doc.exists(f), F.lit(f"missing required field: {f}")) for f in required]
     domains = {
-        "agency": (
-            AGENCY_SLUGS,
-            f" (must match pattern: {SLUG_PATTERN})"
-            if strict
-            else " (must be lowercase alphanumeric with hyphens)",
-        ),
-        "content_type": (CONTENT_TYPES, f" (must be one of: {', '.join(CONTENT_TYPES)})"),
+        "agency": (AGENCY_SLUGS, AGENCY_HINT_STRICT if strict else AGENCY_HINT),
+        "content_type": (CONTENT_TYPES, CONTENT_TYPE_HINT),
         "use_case": (USE_CASES, ""),
     }
+    checks = [(~doc.exists(field), F.lit(MISSING_FIELD + field)) for field in domains]
     if not strict:
-        domains["stage"] = (STAGES, f" (must be one of: {', '.join(STAGES)})")
+        domains["stage"] = (STAGES, STAGE_HINT)
     for field, (allowed, hint) in domains.items():
         value = doc.text(field)
-        checks.append((doc.exists(field) & value.isNull(), F.lit(f"{field} must be a string")))
-        checks.append(
-            (~value.isin(allowed), F.concat(F.lit(f"invalid {field}: "), value, F.lit(hint)))
-        )
+        checks.append((doc.exists(field) & value.isNull(), F.lit(field + NOT_TEXT)))
+        refused = F.concat(F.lit(f"{INVALID}{field}: "), value, F.lit(hint))
+        checks.append((~value.isin(allowed), refused))
     return checks
 
 
@@ -244,10 +249,10 @@ def first_manifest_error() -> Column:
     doc = Document()
     slug, name = doc.text("slug"), doc.text("name")
     return F.coalesce(
-        *[F.when(~doc.exists(f), F.lit(f"manifest missing required field: {f}")) for f in ("slug", "name")],
-        F.when(slug.isNull(), F.lit("slug must be a string")),
-        F.when(~slug.isin(AGENCY_SLUGS), F.concat(F.lit("invalid agency slug: "), slug)),
-        F.when(F.coalesce(name, F.lit("")) == "", F.lit("name must be a non-empty string")),
+        *[F.when(~doc.exists(f), F.lit(MANIFEST_MISSING_FIELD + f)) for f in ("slug", "name")],
+        F.when(slug.isNull(), F.lit("slug" + NOT_TEXT)),
+        F.when(~slug.isin(AGENCY_SLUGS), F.concat(F.lit(MANIFEST_INVALID_SLUG), slug)),
+        F.when(F.coalesce(name, F.lit("")) == "", F.lit(MANIFEST_EMPTY_NAME)),
     )
 
 
