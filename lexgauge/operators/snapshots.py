@@ -13,19 +13,42 @@ from lexgauge.sources.domain import Domain
 CUT_OFF = date(2000, 7, 1)
 
 
-def _joined(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, *[F.col(c).alias(f"{name}_{c}") for c in columns])
+def _one_per_key(df: DataFrame, key: str, columns: list[str], side: str) -> DataFrame:
+    """Fold copies of a key into one row, whose checksum stands for all of them.
+
+    Keys should be unique, and then nothing changes.  Were they not, a join
+    would pair all copies of a key with all of its copies on the other side.
+    """
+    bits = F.xxhash64("checksum")
+    folded = df.groupBy(key).agg(
+        F.count("*").alias("_copies"),
+        F.min("checksum").alias("_least"),
+        F.max("checksum").alias("_most"),
+        F.sum(bits.bitwiseAND(F.lit(0xFFFFFFF))).alias("_low"),
+        F.sum(F.shiftrightunsigned(bits, 36)).alias("_high"),
+        *[F.max(c).alias(f"{side}_{c}") for c in columns],
+    )
+    several = F.concat_ws(":", "_copies", "_least", "_most", "_low", "_high")
+    return folded.select(
+        key,
+        F.when(F.col("_copies") == 1, F.col("_most")).otherwise(several).alias(f"{side}_checksum"),
+        F.lit(True).alias(f"{side}_present"),
+        *[f"{side}_{c}" for c in columns],
+    )
+
 
-    return side(old, "old").join(side(new, "new"), key, "full_outer")
+def _joined(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    return _one_per_key(old, key, columns, "old").join(
+        _one_per_key(new, key, columns, "new"), key, "full_outer"
+    )
 
 
 def _change() -> Column:
     return (
-        F.when(F.col("old_checksum").isNull(), "added")
-        .when(F.col("new_checksum").isNull(), "removed")
-        .when(F.col("old_checksum") != F.col("new_checksum"), "changed")
-        .otherwise("same")
+        F.when(F.col("old_present").isNull(), "added")
+        .when(F.col("new_present").isNull(), "removed")
+        .when(F.col("old_checksum").eqNullSafe(F.col("new_checksum")), "same")
+        .otherwise("changed")
     )
 
 
@@ -35,7 +58,7 @@ def snapshot_diff(
     """Which keys were added, removed or changed between two snapshots."""
     old = old.withColumnRenamed(checksum, "checksum")
     new = new.withColumnRenamed(checksum, "checksum")
-    rows = _joined(old, new, key, ["checksum"]).withColumn("change", _change())
+    rows = _joined(old, new, key, []).select(key, "old_checksum", "new_checksum", _change().alias("change"))
     return rows if include_same else rows.filter("change != 'same'")
 
 
@@ -45,7 +68,7 @@ def impact_score(old: DataFrame, new: DataFrame) -> DataFrame:
     The three parts are named together as one score; their formulas are ours:
     net growth, changed rows and all differing rows, each as a share.
     """
-    rows = _joined(old, new, "ecfr_id", ["checksum", "title"]).select(
+    rows = _joined(old, new, "ecfr_id", ["title"]).select(
         F.coalesce("new_title", "old_title").alias("title"), _change().alias("change")
     )
 

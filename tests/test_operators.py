@@ -91,13 +91,21 @@ def test_quality_checks_find_faults(spark):
 
 def test_snapshot_diff(spark):
     schema = "id int, checksum string"
-    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], schema)
-    new = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], schema)
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (5, None)], schema)
+    new = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d"), (5, None)], schema)
     rows = {r.id: r.change for r in snapshots.snapshot_diff(old, new, "id", include_same=True).collect()}
-    assert rows == {1: "same", 2: "changed", 3: "removed", 4: "added"}
+    assert rows == {1: "same", 2: "changed", 3: "removed", 4: "added", 5: "same"}
     assert snapshots.snapshot_diff(old, new, "id").count() == 3
 
 
+def test_copies_of_a_key_are_compared_as_one(spark):
+    schema = "id int, checksum string"
+    old = spark.createDataFrame([(1, "a")] * 700 + [(2, "b"), (2, "c"), (2, "c")], schema)
+    new = spark.createDataFrame([(1, "a")] * 701 + [(2, "c"), (2, "b"), (2, "c")], schema)
+    rows = {r.id: r.change for r in snapshots.snapshot_diff(old, new, "id", include_same=True).collect()}
+    assert rows == {1: "changed", 2: "same"}
+
+
 PAYLOADS = [
     ('{"agency":"nasa","content_type":"text","use_case":"policy"}', None, []),
     ('{"agency":"nasa","content_type":"text","use_case":"policy","stage":"later"}',
