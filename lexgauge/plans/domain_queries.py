@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import functions as F
-
 from lexgauge.plans import marts, reports
 from lexgauge.plans.registry import query
 from lexgauge.plans.sql import AGENCIES, CORRECTIONS, METRICS, REFERENCES, SCORECARD, with_

@@ -125,10 +125,6 @@ def append_audit(spark: SparkSession, path: str, rows: Iterable[tuple]) -> None:
     spark.createDataFrame(list(rows), AUDIT_LOG).write.mode("append").parquet(path)
 
 
-def append_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
 def export_json(domain: Domain, folder: str, metric_date: date) -> None:
     """The four export views and the summary lists as JSON records."""
     exports = {

@@ -26,7 +26,12 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 
 def daily_activity(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Events per day and type; state of closed days is dropped."""
+    """Events per day and type; state of closed days is dropped.
+
+    Choose ``lateness`` no smaller than the events' real delay: what arrives
+    later, in a later batch, is not counted any more.  The batch job
+    ``event_time_series`` counts everything.
+    """
     return (
         events.withWatermark("at", lateness)
         .groupBy(F.window("at", "1 day").alias("window"), "event_type")
@@ -74,7 +79,8 @@ def current_activity(spark: SparkSession, out: str) -> DataFrame:
 def distinct_events(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     """The event log without repeated deliveries.
 
-    Repeats are told by id within the lateness, so state stays bounded.  An
+    Repeats are told by id within the lateness, so state stays bounded; events
+    that come in a later batch and even later than that are left out.  An
     event delivered a great many times is first thinned out in several tasks,
     before its last copies meet in one.
     """
