@@ -74,3 +74,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   class_distance, word_distance
 FROM judged
 """
+
+LINES = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place
+  FROM documents
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), frequent AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(frequent.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE frequent.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent USING (key) GROUP BY doc_id
+"""
+
+
+def _mix(rounds: int = 20) -> str:
+    """The raking rounds spelt out: one scaling per dimension and round."""
+    steps, last = [], "cells"
+    for number in range(rounds):
+        for d in ("source", "lang", "topic"):
+            name = f"r{number}_{d}"
+            steps.append(
+                f"{name} AS (SELECT source, lang, topic, tokens, weight * share / sum(weight) OVER (PARTITION BY {last}.{d}) AS weight "
+                f"FROM {last} JOIN targets ON targets.dimension = '{d}' AND targets.category = {last}.{d})"
+            )
+            last = name
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents
+), rows_ AS (
+  SELECT doc_id, t, source, lang,
+    CASE WHEN contains(t, ' | ') THEN 'table' WHEN regexp_matches(t, '[#*$%&]{{3}}') THEN 'marked'
+      WHEN regexp_matches(t, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
+    CAST(len({_WORDS.format('t')}) AS BIGINT) AS tokens
+  FROM docs
+), sums AS (
+  SELECT unnest(['source', 'lang', 'topic']) AS dimension, unnest([source, lang, topic]) AS category, tokens FROM rows_
+), targets AS (
+  SELECT dimension, category, pow(sum(tokens), 0.7) / sum(pow(sum(tokens), 0.7)) OVER (PARTITION BY dimension) AS share
+  FROM sums GROUP BY dimension, category HAVING sum(tokens) > 0
+), cells AS (
+  SELECT source, lang, topic, sum(tokens) AS tokens, sum(tokens) / sum(sum(tokens)) OVER () AS weight
+  FROM rows_ GROUP BY source, lang, topic HAVING sum(tokens) > 0
+), {', '.join(steps)}, rates AS (
+  SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS p FROM {last}
+)
+SELECT doc_id, source, lang, topic, tokens, round(coalesce(p, 0), 9) AS probability,
+  CAST('0x' || substr(md5('11|' || coalesce(CAST(doc_id AS VARCHAR), t)), 1, 13) AS BIGINT) / pow(16, 13) < coalesce(p, 0) AS sampled
+FROM rows_ LEFT JOIN rates USING (source, lang, topic)
+"""
+
+
+MIX = _mix()
