@@ -39,7 +39,9 @@ _WORD = re.compile(r"\w+")
 PIECE = 1 << 20
 #: Words of benchmark text that travel to the tasks at once; more make more passes.
 PASS_WORDS = 1 << 21
-PAD = 1
+#: Windows that walk together.
+CHUNK = 1 << 15
+TABLE_BITS = 14
 
 
 def words_of(text: str | None) -> list[str]:
@@ -72,15 +74,32 @@ def edits(pattern: list[int], text: list[int]) -> int:
     return best
 
 
+def _odd(chance: np.random.Generator, shape: tuple[int, ...]) -> np.ndarray:
+    return chance.integers(0, 1 << 31, shape, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+@dataclass
+class Lengths:
+    """Items of like length, how long their walks are, and what is sampled of them."""
+
+    shortest: int
+    steps: int
+    places: list[int] = field(default_factory=list)
+    lengths: set[int] = field(default_factory=set)
+    chosen: np.ndarray | None = None
+    keys: np.ndarray | None = None
+    table: np.ndarray | None = None
+
+
 @dataclass
 class Search:
     """The items of one pass, their embeddings and the random choices that all tasks share."""
 
     items: list[tuple[int, list[str]]]
     rate: float = 0.2
-    walks: int = 8
-    samples: int = 10
-    positions: int = 5
+    walks: int = 6
+    samples: int = 8
+    positions: int = 4
     seed: int = 13
     vocabulary: dict[str, int] = field(default_factory=dict)
 
@@ -88,75 +107,81 @@ class Search:
         chance = np.random.default_rng(self.seed)
         for _, words in self.items:
             for word in words:
-                self.vocabulary.setdefault(word, len(self.vocabulary) + 2)
+                self.vocabulary.setdefault(word, len(self.vocabulary) + 1)
         self.coded = [np.array([self.vocabulary[w] for w in words], np.uint32) for _, words in self.items]
-        self.by_length: dict[int, list[int]] = {}
-        for place, coded in enumerate(self.coded):
-            self.by_length.setdefault(len(coded), []).append(place)
-        self.longest = max(self.by_length, default=0)
-        self.slack = int(self.rate * self.longest)
-        steps = 2 * self.longest
-        self.factors = chance.integers(1, 1 << 63, (self.walks, steps), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shifts = chance.integers(0, 1 << 63, (self.walks, steps), np.uint64)
-        self.chosen = {
-            n: chance.integers(0, 2 * n, (self.walks, self.samples, self.positions)) for n in self.by_length
-        }
-        self.mix = chance.integers(1, 1 << 63, (self.positions,), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.keys = {
-            n: [
-                np.stack([self._keys(*self._walk(self.coded[p], np.zeros(1, np.int64), w), n, w) for p in places])[:, :, 0]
-                for w in range(self.walks)
-            ]
-            for n, places in self.by_length.items()
-        }
-
-    def _walk(self, tokens: np.ndarray, starts: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word and cursor at each step of the walks from ``starts``."""
-        steps = 2 * self.longest
+        self.slack = max((int(self.rate * len(c)) for c in self.coded), default=0)
+        self.classes = self._classes()
+        steps = max((c.steps for c in self.classes), default=0)
+        self.factors = _odd(chance, (self.walks, steps))
+        self.shifts = chance.integers(0, 1 << 32, (self.walks, steps), np.uint64).astype(np.uint32)
+        self.mix = _odd(chance, (self.positions,))
+        for c in self.classes:
+            c.chosen = chance.integers(0, c.steps, (self.walks, self.samples, self.positions))
+            c.keys = np.empty((self.walks, self.samples, len(c.places)), np.uint64)
+            c.table = np.zeros((self.walks, self.samples, 1 << TABLE_BITS), bool)
+            for walk in range(self.walks):
+                for column, place in enumerate(c.places):
+                    words = self._walk(self.coded[place], np.zeros(1, np.int64), walk, c.steps)
+                    c.keys[walk, :, column] = self._keys(words, c, walk)[:, 0]
+                for sample in range(self.samples):
+                    c.table[walk, sample, c.keys[walk, sample] >> np.uint64(64 - TABLE_BITS)] = True
+
+    def _classes(self) -> list[Lengths]:
+        """Items of like length: windows of a class share their walks, which stay inside its shortest item."""
+        order = sorted(range(len(self.coded)), key=lambda p: len(self.coded[p]))
+        classes: list[Lengths] = []
+        for place in order:
+            n = len(self.coded[place])
+            if not classes or n > classes[-1].shortest * 1.35:
+                classes.append(Lengths(n, int(1.6 * n)))
+            classes[-1].places.append(place)
+            classes[-1].lengths.add(n)
+        return classes
+
+    def _walk(self, tokens: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> np.ndarray:
+        """The word at each step of the walks from ``starts``."""
         padded = np.concatenate([tokens, np.zeros(steps + 1, tokens.dtype)])
         words = np.empty((steps, len(starts)), np.uint32)
-        cursor = np.empty((steps, len(starts)), np.int32)
-        at = np.zeros(len(starts), np.int64)
+        at = starts.astype(np.int64)
         for j in range(steps):
-            word = padded[starts + at]
-            words[j], cursor[j] = word, at
-            bit = ((word + self.shifts[walk, j]) * self.factors[walk, j]) >> np.uint64(63)
-            at += bit.astype(np.int64)
-        return words, cursor
-
-    def _keys(self, words: np.ndarray, cursor: np.ndarray, n: int, walk: int) -> np.ndarray:
-        """Keys (samples, walks) of windows of ``n`` words: the sampled steps, mixed into one number."""
+            words[j] = word = padded[at]
+            at += ((word ^ self.shifts[walk, j]) * self.factors[walk, j] >> np.uint32(31)).astype(np.int64)
+        return words
+
+    def _keys(self, words: np.ndarray, c: Lengths, walk: int) -> np.ndarray:
+        """Keys (samples, walks): the sampled steps, mixed into one number."""
         out = np.empty((self.samples, words.shape[1]), np.uint64)
-        for s in range(self.samples):
-            steps = self.chosen[n][walk, s]
-            seen = np.where(cursor[steps] < n, words[steps], PAD).astype(np.uint64)
-            key = (seen * self.mix[:, None]).sum(axis=0, dtype=np.uint64)
-            out[s] = key ^ (key >> np.uint64(31))
+        for sample in range(self.samples):
+            key = np.zeros(words.shape[1], np.uint64)
+            for step, factor in zip(c.chosen[walk, sample], self.mix):
+                key = (key ^ words[step]) * (factor | np.uint64(1) << np.uint64(40))
+                key ^= key >> np.uint64(29)
+            out[sample] = key * np.uint64(0x9E3779B97F4A7C15)
         return out
 
     def candidates(self, tokens: np.ndarray) -> np.ndarray:
         """Pairs (start, item place) that some sample of some walk brings together."""
-        known = np.concatenate(([0], np.cumsum(tokens > PAD), np.zeros(self.longest, np.int64)))
-        known[len(tokens) + 1 :] = known[len(tokens)]
-        able = {}
-        for n in self.by_length:
-            count = known[n : n + len(tokens)] - known[: len(tokens)]
-            able[n] = count >= n - int(self.rate * n)
-        starts = np.flatnonzero(np.logical_or.reduce(list(able.values())))
+        known = np.concatenate(([0], np.cumsum(tokens > 0)))
         found = []
-        for begin in range(0, len(starts), 1 << 15):
-            part = starts[begin : begin + (1 << 15)]
-            columns = {n: np.flatnonzero(mask[part]) for n, mask in able.items()}
-            for walk in range(self.walks):
-                words, cursor = self._walk(tokens, part, walk)
-                for n, own in columns.items():
-                    if not len(own):
-                        continue
-                    keys = self._keys(words[: 2 * n, own], cursor[: 2 * n, own], n, walk)
-                    for place, item in zip(self.by_length[n], self.keys[n][walk]):
-                        hit = np.flatnonzero((keys == item[:, None]).any(axis=0))
-                        if len(hit):
-                            found.append(np.stack([part[own[hit]], np.full(len(hit), place)], axis=1))
+        for c in self.classes:
+            able = np.zeros(len(tokens), bool)
+            for n in c.lengths:
+                # Past the end of the words nothing more is known.
+                end = np.minimum(np.arange(n, n + len(tokens)), len(tokens))
+                able |= known[end] - known[:-1] >= n - int(self.rate * n)
+            starts = np.flatnonzero(able)
+            for begin in range(0, len(starts), CHUNK):
+                part = starts[begin : begin + CHUNK]
+                for walk in range(self.walks):
+                    keys = self._keys(self._walk(tokens, part, walk, c.steps), c, walk)
+                    slots = keys >> np.uint64(64 - TABLE_BITS)
+                    for sample in range(self.samples):
+                        maybe = np.flatnonzero(c.table[walk, sample][slots[sample]])
+                        if not len(maybe):
+                            continue
+                        same = keys[sample, maybe][:, None] == c.keys[walk, sample]
+                        row, column = np.nonzero(same)
+                        found.append(np.stack([part[maybe[row]], np.array(c.places)[column]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def matches(self, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
@@ -175,7 +200,7 @@ class Search:
             item = self.coded[place]
             n, k = len(item), int(self.rate * len(item))
             mine = pairs[:, 1] == place
-            inside = np.zeros(len(self.vocabulary) + 2, bool)
+            inside = np.zeros(len(self.vocabulary) + 1, bool)
             inside[item] = True
             held = np.concatenate(([0], np.cumsum(inside[tokens])))
             starts, owners = pairs[mine, 0], owner[mine]
