@@ -30,6 +30,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Categories per dimension that a target made from the data may have; the rest share one category.
 CATEGORIES = 64
 OTHER = "*"
+ROUNDS_PER_PLAN = 4
 
 
 def topic_of(text: Column) -> Column:
@@ -89,7 +90,8 @@ def raked(counts: DataFrame, targets: DataFrame, rounds: int = 20) -> DataFrame:
     """Category cells (k_source, k_lang, k_topic) with tokens, raked weight and sampling probability.
 
     The cells, bounded by the targets, are brought into one partition; the
-    rounds are window sums there and need no exchange.  A dimension keeps the
+    rounds are window sums there and need no exchange.  Every few rounds the
+    cells are written, so that plans stay short.  A dimension keeps the
     weights of a category without a target.
     """
     keys = [f"k_{d}" for d in DIMENSIONS]
@@ -97,8 +99,13 @@ def raked(counts: DataFrame, targets: DataFrame, rounds: int = 20) -> DataFrame:
     for d in DIMENSIONS:
         share = targets.where(F.col("dimension") == d).select(F.col("category").alias(f"k_{d}"), F.col("share").alias(f"share_{d}"))
         cells = cells.join(share, f"k_{d}", "left")
-    cells = materialize(cells).coalesce(1).withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
-    for _ in range(rounds):
+    cells = materialize(cells)
+    if not cells.limit(1).count():
+        return cells.select(*keys, "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("p"))
+    cells = cells.coalesce(1).withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
+    for number in range(rounds):
+        if number and number % ROUNDS_PER_PLAN == 0:
+            cells = materialize(cells).coalesce(1)
         for d in DIMENSIONS:
             reached = F.sum("weight").over(Window.partitionBy(f"k_{d}"))
             cells = cells.withColumn("weight", F.coalesce(F.col("weight") * F.col(f"share_{d}") / reached, F.col("weight")))
