@@ -77,7 +77,9 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "language", *((F.col(f"c_{n}") / F.greatest("c_all", F.lit(1))).alias(f"q_{n}") for n in CLASS_NAMES)
     )
     words = source.select("language", F.explode(split_words(F.lower("t"))).alias("word"))
-    counted = words.groupBy("language", F.when(F.length("word") <= rules.word_length, F.col("word")).alias("word")).agg(F.count("*").alias("n"))
+    short = F.when(F.length("word") <= rules.word_length, F.col("word")).alias("word")
+    # Written, as the totals and the ranking both read it.
+    counted = materialize(words.groupBy("language", short).agg(F.count("*").alias("n")))
     totals = counted.groupBy("language").agg(F.sum("n").alias("total"))
     best = Window.partitionBy("language").orderBy(F.desc("n"), "word")
     # The rank limit runs inside each task first, so the window sees few rows of a language.
