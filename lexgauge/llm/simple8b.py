@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -53,20 +55,28 @@ def _choices(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For every position the selector of the word that would start there.
 
     ``ends`` is the position after the block of each id; a word may be padded
-    with zeros at the end of its block.
+    with zeros at the end of its block.  For each selector, the positions whose
+    ids are narrow enough are followed step by step, and most drop out early.
     """
-    at = np.arange(len(ids))
     choice = np.zeros(len(ids), np.int8)
-    undecided = np.ones(len(ids), bool)
-    nonzero = np.concatenate(([0], np.cumsum(ids != 0)))
-    run = at + ZERO_RUN
-    fits = (run <= ends) & (nonzero[np.minimum(run, len(ids))] == nonzero[at])
-    choice[fits], undecided[fits] = ZEROS, False
+    open_ = np.ones(len(ids), bool)
+    zero = np.flatnonzero(ids == 0)
+    if len(zero) >= ZERO_RUN:
+        run = zero[: len(zero) - ZERO_RUN + 1]
+        # As many zeros in a row as the list of zeros has places between.
+        run = run[(zero[ZERO_RUN - 1 :] - run == ZERO_RUN - 1) & (run + ZERO_RUN <= ends[run])]
+        choice[run], open_[run] = ZEROS, False
     for selector, count in enumerate(COUNTS, 1):
-        wide = np.concatenate(([0], np.cumsum(ids >> np.uint64(WIDTH[selector]) != 0)))
-        fits = undecided & (wide[np.minimum(at + count, ends)] == wide[at])
-        choice[fits] = selector
-        undecided &= ~fits
+        narrow = ids >> np.uint64(WIDTH[selector]) == 0
+        at = np.flatnonzero(narrow & open_)
+        stop = ends[at]
+        narrow = np.concatenate([narrow, np.ones(count, bool)])
+        for step in range(1, count):
+            if not len(at):
+                break
+            fits = narrow[at + step] | (at + step >= stop)
+            at, stop = at[fits], stop[fits]
+        choice[at], open_[at] = selector, False
     return choice
 
 
@@ -150,17 +160,22 @@ def decode(words: np.ndarray, n_ids: int, block_words: np.ndarray) -> np.ndarray
 
 
 class WordCache:
-    """Ids of the pieces between white space, encoded once per task and then looked up.
+    """Ids of the pieces of a text, encoded once per worker and then looked up.
 
     For a tokenizer that drops white space and never merges across it, the ids
-    of a text are those of its pieces in order.  The cache forgets everything
-    when it is full, so its memory is bounded.
+    of a text are those of its pieces between white space in order.  Where a
+    text is in normal form and has no apostrophe, it is lower-cased and cut
+    between letters and other characters as well, as the tokenizer does.  When
+    the cache is full it becomes the old one, from which only pieces that come
+    again are taken over, so memory is bounded and frequent pieces stay.
     """
 
     #: Unicode white space, which such a tokenizer treats as one separator (fixed values).
-    SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+    SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: Stands between the pieces that are encoded together; it is a token of its own.
+    BREAK = "\0"
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         import re
 
         from tokenizers import Tokenizer
@@ -168,23 +183,56 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         # Control strings inside a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
-        self.split = re.compile(self.SPACE).split
+        self.split = re.compile(f"[{self.SPACE}]+").split
+        self.cut = re.compile(rf"[^\W\d_]+|(?:[^\w{self.SPACE}]|[\d_])+").findall
         self.most = most
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        (self.mark,) = self.tokenizer.encode(self.BREAK, add_special_tokens=False).ids
+
+    def pieces(self, text: str) -> list[str]:
+        lowered = text.lower()
+        # A capital sigma is lowered by its place in the word, and not so by the tokenizer.
+        if "'" in text or "\u03a3" in text or not (is_normalized("NFC", text) and is_normalized("NFC", lowered)):
+            return self.split(text)
+        return self.cut(lowered)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces many at a time and cut the ids at the breaks."""
+        together = [p for p in new if self.BREAK not in p]
+        for begin in range(0, len(together), 512):
+            part = together[begin : begin + 512]
+            coded = self.tokenizer.encode(f" {self.BREAK} ".join(part), add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            begin_at = 0
+            for piece, end in zip(part, ends, strict=True):
+                self.known[piece] = ids[begin_at:end].tobytes()
+                begin_at = end + 1
+        for piece in new:
+            if self.BREAK in piece:
+                coded = self.tokenizer.encode(piece, add_special_tokens=False)
+                self.known[piece] = np.array(coded.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text."""
-        pieces = [self.split(text) for text in texts]
         if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = list({p for text in pieces for p in text if p not in known})
-        for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = np.array(coded.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, text)), "<u4") for text in pieces]
+            self.old, self.known = self.known, {}
+        cut = [self.pieces(text) for text in texts]
+        fresh = set().union(*cut).difference(self.known)
+        again = fresh.intersection(self.old)
+        self.known.update((piece, self.old[piece]) for piece in again)
+        self._learn(sorted(fresh - again))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4") for pieces in cut]
 
 
-def _pieces(texts: Iterator[str | None], characters: int = 1 << 22) -> Iterator[list[str]]:
+@lru_cache(1)
+def _word_cache(path: str) -> WordCache:
+    """The worker's cache; it outlives a task."""
+    return WordCache(path)
+
+
+def _pieces(texts: Iterator[str | None], characters: int = 1 << 20) -> Iterator[list[str]]:
     """Groups of texts with a bounded total length; a longer text comes alone."""
     held, size = [], 0
     for text in texts:
@@ -203,7 +251,7 @@ def _pack(tokenizer: str, end_id: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        cache = WordCache(tokenizer)
+        cache = _word_cache(tokenizer)
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
         ids, before, row = 0, 0, 0
