@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgauge.session import materialize
-
 CHECKSUM_PATTERN = "^[a-f0-9]{64}$"
 
 _LANES = 8
-_LANE_DIGITS = 7  # 28 bits: a bigint sum holds 2**35 rows per bucket
+_LANE_DIGITS = 7  # 28 bits
 
 # JSON text in ASCII: a character outside it can only stand inside a string
 # and becomes a lower-case escape, two of them beyond the basic plane.  Escapes
@@ -72,7 +70,7 @@ def bucket_digests(df: DataFrame, checksum: str = "checksum") -> DataFrame:
     """
     lanes = [
         F.sum(
-            F.conv(F.substring(checksum, i * _LANE_DIGITS + 1, _LANE_DIGITS), 16, 10).cast("bigint")
+            F.conv(F.substring(checksum, i * _LANE_DIGITS + 1, _LANE_DIGITS), 16, 10).cast("decimal(10,0)")
         ).alias(f"_lane{i}")
         for i in range(_LANES)
     ]
@@ -97,21 +95,3 @@ def table_digest(df: DataFrame, table_name: str, checksum: str = "checksum") ->
         F.coalesce(F.sum("record_count"), F.lit(0)).cast("bigint").alias("record_count"),
         F.md5(F.array_join(F.transform(ordered, lambda b: b["digest"]), "")).alias("aggregate_checksum"),
     )
-
-
-def ordered_checksum(
-    df: DataFrame, key: str, checksum: str = "checksum", max_rows: int = 100_000
-) -> DataFrame:
-    """MD5 of all row checksums joined in key order, for a small table.
-
-    The definition runs through the rows one after the other, so a table over
-    ``max_rows`` is refused; :func:`table_digest` serves every size.
-    """
-    rows = materialize(df.select(key, checksum))
-    if rows.count() > max_rows:
-        raise ValueError(f"over {max_rows} rows: use table_digest")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(key), F.col(checksum))))
-    return rows.agg(
-        F.count("*").alias("record_count"),
-        F.md5(F.array_join(F.transform(ordered, lambda r: r[checksum]), "")).alias("aggregate_checksum"),
-    )

@@ -12,7 +12,9 @@ from lexgauge.session import materialize
 
 # monotonically_increasing_id() keeps the partition number above this bit.
 _PARTITION_SHIFT = 33
-_RANK_SLICES = 64
+_LEAST_SLICES = 64
+# Ranked values keep whole numbers beyond 2**53 apart, which doubles do not.
+_RANK_TYPE = "decimal(38,6)"
 
 
 def with_row_number(df: DataFrame, order_by: list[Column | str], out: str = "row_number") -> DataFrame:
@@ -49,27 +51,28 @@ def with_row_number_per(
     """Number the rows of each ``key`` by ``order_by``, ``start`` first.
 
     The global number minus the key's smallest global number; no key's rows
-    have to meet in one task.  The smallest numbers are written first, so that
-    the planner knows whether they are few enough to broadcast.
+    have to meet in one task.  Rows without a key are numbered together.  The
+    smallest numbers are written first, so that the planner knows whether they
+    are few enough to broadcast.
     """
     numbered = with_row_number(df, [key, *order_by], "_global")
-    firsts = materialize(numbered.groupBy(key).agg(F.min("_global").alias("_first")))
+    firsts = materialize(numbered.groupBy(F.col(key).alias("_key")).agg(F.min("_global").alias("_first")))
     return (
-        numbered.join(firsts, key)
+        numbered.join(firsts, F.col(key).eqNullSafe(F.col("_key")))
         .withColumn(out, (F.col("_global") - F.col("_first") + start).cast("bigint"))
-        .drop("_global", "_first")
+        .drop("_global", "_first", "_key")
     )
 
 
-def _sql_array(numbers: Iterable[float], kind: str) -> str:
-    return f"CAST(array({', '.join(repr(n) for n in numbers)}) AS array<{kind}>)"
+def _sql_array(numbers: Iterable[object], kind: str) -> str:
+    return f"CAST(array({', '.join(str(n) for n in numbers)}) AS array<{kind}>)"
 
 
 def with_ranks(df: DataFrame, ranks: dict[str, Column], total: str | None = None) -> DataFrame:
     """Add competition ranks (ties share the smallest rank, gaps follow).
 
-    ``ranks`` maps an output column to a numeric expression ranked ascending;
-    pass a negated value for descending.  NULL ranks last.  ``total`` names a
+    ``ranks`` maps an output column to a numeric expression ranked ascending
+    (to six decimal places); pass a negated value for descending.  NULL ranks last.  ``total`` names a
     column for the row count.
 
     All rankings work on their distinct values with the row counts, which are
@@ -80,7 +83,7 @@ def with_ranks(df: DataFrame, ranks: dict[str, Column], total: str | None = None
     """
     names = list(ranks)
     pairs = [
-        F.struct(F.lit(i).alias("_rank"), ranks[name].cast("double").alias("_value"))
+        F.struct(F.lit(i).alias("_rank"), ranks[name].cast(_RANK_TYPE).alias("_value"))
         for i, name in enumerate(names)
     ]
     values = materialize(
@@ -88,21 +91,22 @@ def with_ranks(df: DataFrame, ranks: dict[str, Column], total: str | None = None
         .groupBy("_rank", "_value")
         .agg(F.count("*").alias("_count"))
     )
-    probs = [i / _RANK_SLICES for i in range(1, _RANK_SLICES)]
+    slices = max(_LEAST_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probs = [i / slices for i in range(1, slices)]
     quantiles = values.groupBy("_rank").agg(F.percentile_approx("_value", probs, 10_000).alias("cuts"))
     cuts = {row["_rank"]: sorted(set(row["cuts"] or [])) for row in quantiles.collect()}
-    all_cuts = ", ".join(_sql_array(cuts.get(i, []), "double") for i in range(len(names)))
+    all_cuts = ", ".join(_sql_array(cuts.get(i, []), _RANK_TYPE) for i in range(len(names)))
     sliced = values.withColumn(
         "_slice",
         F.expr(
-            f"CASE WHEN _value IS NULL THEN {_RANK_SLICES} "
+            f"CASE WHEN _value IS NULL THEN {slices} "
             f"ELSE size(filter(get(array({all_cuts}), _rank), c -> c <= _value)) END"
         ),
     )
     sizes = sliced.groupBy("_rank", "_slice").agg(F.sum("_count").alias("_size"))
     found = {(row["_rank"], row["_slice"]): row["_size"] for row in sizes.collect()}
     ahead = ", ".join(
-        _sql_array(accumulate((found.get((i, s), 0) for s in range(_RANK_SLICES)), initial=0), "bigint")
+        _sql_array(accumulate((found.get((i, s), 0) for s in range(slices)), initial=0), "bigint")
         for i in range(len(names))
     )
     ranked = sliced.selectExpr(
@@ -115,7 +119,7 @@ def with_ranks(df: DataFrame, ranks: dict[str, Column], total: str | None = None
     result = df
     for i, name in enumerate(names):
         places = ranked.filter(F.col("_rank") == i).select("_value", F.col("_place").alias(name))
-        result = result.join(places, ranks[name].cast("double").eqNullSafe(F.col("_value"))).drop("_value")
+        result = result.join(places, ranks[name].cast(_RANK_TYPE).eqNullSafe(F.col("_value"))).drop("_value")
     if total:
         rows = sum(size for (i, _), size in found.items() if i == 0)
         result = result.withColumn(total, F.lit(rows).cast("bigint"))

@@ -160,7 +160,7 @@ def search_events(
     event_name: str | None = None,
     since: datetime | None = None,
     until: datetime | None = None,
-    limit: int = SEARCH_CAP,
+    limit: int | None = SEARCH_CAP,
 ) -> DataFrame:
     """A tenant's newest events, by name and time."""
     rows = tenant_rows(events, agency_id)
@@ -170,7 +170,8 @@ def search_events(
         rows = rows.filter(F.col("timestamp") >= at(since))
     if until is not None:
         rows = rows.filter(F.col("timestamp") < at(until))
-    return rows.orderBy(F.desc("timestamp"), "event_id").limit(limit)
+    ordered = rows.orderBy(F.desc("timestamp"), "event_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 # -- tenancy and roles ------------------------------------------------------

@@ -12,6 +12,10 @@ from lexgauge.session import materialize
 
 MIN_GROUP_SIZE = 5
 
+# What the manifest contract assumes where nothing is said.
+DEFAULT_CLASSIFICATION = "U"
+DEFAULT_RETENTION_DAYS = 2555
+
 
 def salted_hash(value: Column, salt: str | Column) -> Column:
     """SHA-256 of salt and value; NULL stays NULL, so unknowns never link."""
@@ -137,14 +141,28 @@ def provenance(steps: Sequence[tuple[str, str, DataFrame, DataFrame]]) -> DataFr
 
 
 def in_clearance(df: DataFrame, manifests: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Rows of agencies whose classification label is among ``labels``."""
-    labelled = manifests.select("agency_id", "data_classification")
-    return df.join(labelled, "agency_id").filter(F.col("data_classification").isin(list(labels)))
+    """Rows of agencies whose classification label is among ``labels``.
+
+    Agencies without a manifest, or without a label in it, have the contract's default.
+    """
+    label = F.coalesce("data_classification", F.lit(DEFAULT_CLASSIFICATION))
+    return (
+        df.join(manifests.select("agency_id", "data_classification"), "agency_id", "left")
+        .withColumn("data_classification", label)
+        .filter(F.col("data_classification").isin(list(labels)))
+    )
 
 
 def within_retention(df: DataFrame, manifests: DataFrame, time: str, as_of: Column) -> DataFrame:
-    """Rows not older than their agency's retention; 0 days keeps for ever."""
+    """Rows not older than their agency's retention; 0 days keeps for ever.
+
+    Agencies without a manifest, or without a period in it, have the contract's
+    default; rows without a time cannot be shown to be too old and stay.
+    """
+    days = F.coalesce("retention_days", F.lit(DEFAULT_RETENTION_DAYS))
     oldest = as_of - F.make_dt_interval(F.col("retention_days"))
-    return df.join(manifests.select("agency_id", "retention_days"), "agency_id").filter(
-        (F.col("retention_days") == 0) | (F.col(time) >= oldest)
+    return (
+        df.join(manifests.select("agency_id", "retention_days"), "agency_id", "left")
+        .withColumn("retention_days", days)
+        .filter((F.col("retention_days") == 0) | F.col(time).isNull() | (F.col(time) >= oldest))
     )

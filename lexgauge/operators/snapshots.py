@@ -66,7 +66,8 @@ def impact_score(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per title: growth, amendment frequency and checksum variance, averaged.
 
     The three parts are named together as one score; their formulas are ours:
-    net growth, changed rows and all differing rows, each as a share.
+    net growth, changed rows and all differing rows, each as a share.  A title
+    that only the later snapshot has is kept, without growth, frequency and score.
     """
     rows = _joined(old, new, "ecfr_id", ["title"]).select(
         F.coalesce("new_title", "old_title").alias("title"), _change().alias("change")
@@ -82,10 +83,11 @@ def impact_score(old: DataFrame, new: DataFrame) -> DataFrame:
         tally("added", "removed", "changed").alias("differing"),
         F.count("*").alias("all_count"),
     )
-    growth = (F.col("new_count") - F.col("old_count")) / F.col("old_count")
-    amended = F.col("changed_count") / F.col("old_count")
+    before = F.nullif(F.col("old_count"), F.lit(0))
+    growth = (F.col("new_count") - F.col("old_count")) / before
+    amended = F.col("changed_count") / before
     variance = F.col("differing") / F.col("all_count")
-    return counted.filter("old_count > 0").select(
+    return counted.select(
         "title",
         "old_count",
         "new_count",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexgauge.plans import (  # noqa: F401
+    content_queries,
     contract_queries,
     domain_queries,
     ledger_queries,

@@ -223,9 +223,9 @@ def _(spark, sf_dir):
     return reports.top_by_corrections(load_domain(spark, sf_dir))
 
 
-@query("top_by_rvi", with_(METRICS) + _TOP.format("rvi", 50))
+@query("top_by_rvi", with_(METRICS) + _TOP.format("rvi", 75))
 def _(spark, sf_dir):
-    return reports.top_by_rvi(load_domain(spark, sf_dir), limit=75)
+    return reports.top_by_rvi(load_domain(spark, sf_dir), limit=75, cap=None)
 
 
 @query(

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgauge.operators import contracts, quality, steps
+from lexgauge.operators import content, contracts, privacy, profiles, quality, steps
 from lexgauge.operators.profiles import archival_manifest
 from lexgauge.plans import marts, reports
 from lexgauge.sinks.writers import export_csv, serving_tables
@@ -28,6 +29,13 @@ class Run:
     domain: Domain
     folder: str
     as_of: date
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    def table(self, name: str) -> DataFrame:
+        """A content table (documents, pages, embeddings, labels, orders, events) of the caller."""
+        if name not in self.tables:
+            raise ValueError(f"this step needs the table {name}")
+        return self.tables[name]
 
     def write(self, df: DataFrame, name: str) -> int:
         """Replace one output table and return its row count."""
@@ -47,7 +55,13 @@ def _checks(run: Run) -> int:
         quality.extra_copies(agencies, ["slug"], "unique agencies.slug"),
         quality.tallies(corrections, {"checksum present": F.col("checksum").isNull()}),
     ]
-    return run.write(quality.report(checks), "source_checks")
+    records = run.write(quality.report(checks), "source_checks")
+    failed = run.spark.read.parquet(f"{run.folder}/source_checks").filter("status = 'fail'").collect()
+    if failed:
+        raise ValueError("source refused: " + "; ".join(f"{r.check_name}: {r.violations}" for r in failed))
+    if "documents" in run.tables:
+        records += run.write(content.validate_documents(run.table("documents")), "document_violations")
+    return records
 
 
 def _stored(run: Run) -> dict[str, DataFrame]:
@@ -55,13 +69,53 @@ def _stored(run: Run) -> dict[str, DataFrame]:
 
 
 def _digests(run: Run) -> int:
-    return run.write(archival_manifest(_stored(run)), "checksums")
+    records = run.write(archival_manifest(_stored(run)), "checksums")
+    if "documents" in run.tables:
+        records += run.write(content.text_checksums(run.table("documents")), "document_checksums")
+    return records
 
 
 def _csv(run: Run) -> int:
-    metrics = marts.serving_metrics(run.domain)
-    export_csv(metrics, f"{run.folder}/csv", "agency_metrics")
-    return metrics.count()
+    """The metrics are computed once and exported from what was written."""
+    records = run.write(marts.serving_metrics(run.domain), "csv_source")
+    export_csv(run.spark.read.parquet(f"{run.folder}/csv_source"), f"{run.folder}/csv", "agency_metrics")
+    return records
+
+
+def _content(name: str, operator: Callable[[DataFrame], DataFrame], out: str) -> Callable[[Run], int]:
+    """A job that applies an operator to one of the caller's content tables."""
+    return lambda run: run.write(operator(run.table(name)), out)
+
+
+def _metrics(run: Run) -> int:
+    records = run.write(marts.metrics_mart(run.domain), "record_metrics")
+    if "documents" in run.tables:
+        records += run.write(content.text_metrics(run.table("documents")), "text_metrics")
+    return records
+
+
+def _dictionaries(run: Run) -> int:
+    tables = {**_stored(run), **run.tables}
+    rows = [profiles.data_dictionary(df, name) for name, df in tables.items()]
+    return run.write(reduce(DataFrame.unionByName, rows), "data_dictionary")
+
+
+def _provenance(run: Run) -> int:
+    """What each stored table is made of: rows, digest and columns, beside the exports."""
+    stored = _stored(run)
+    listed = [(name, "select and fingerprint", df, df) for name, df in stored.items()]
+    return run.write(privacy.provenance(listed), "provenance")
+
+
+def _schema(run: Run) -> int:
+    expected = dict(run.table("documents").dtypes) | {"doc_id": "bigint", "text": "string"}
+    manifest = content.dataset_manifest(run.table("documents"), expected)
+    return run.write(manifest.filter("schema_problems != ''"), "schema_problems")
+
+
+def _manifest(run: Run) -> int:
+    expected = dict(run.table("documents").dtypes)
+    return run.write(content.dataset_manifest(run.table("documents"), expected), "dataset_manifest")
 
 
 def _verify(run: Run) -> int:
@@ -76,13 +130,30 @@ def _archive(run: Run) -> int:
     return run.write(archival_manifest(_stored(run)), "archive")
 
 
-# Steps with work behind them; the others are only named and end as "no_job".
+# Steps with work behind them; a payload that asks for others is refused, unless the caller allows it.
 JOBS: dict[str, Callable[[Run], int]] = {
     "validate_source": _checks,
     "calculate_checksums": _digests,
-    "load_text_records": lambda run: run.write(run.domain.corrections, "records"),
-    "load_documents": lambda run: run.write(run.domain.corrections, "records"),
-    "compute_record_metrics": lambda run: run.write(marts.metrics_mart(run.domain), "record_metrics"),
+    "load_text_records": _content("documents", lambda df: df, "documents"),
+    "load_documents": _content("documents", lambda df: df, "documents"),
+    "index_document_metadata": _content("documents", content.metadata_index, "metadata_index"),
+    "extract_text_from_pdf": _content("pages", content.page_text, "page_text"),
+    "tokenise_text": _content("documents", content.term_counts, "terms"),
+    "detect_language": _content("documents", content.stop_word_language, "languages"),
+    "extract_named_entities": _content("documents", content.entities, "entities"),
+    "run_sentiment_analysis": _content("documents", content.sentiment, "sentiment"),
+    "compute_text_embeddings": _content("embeddings", content.embedding_nearest, "embedding_labels"),
+    "transfer_embeddings": _content("embeddings", content.embedding_centroids, "embedding_centroids"),
+    "split_train_val_test": _content("documents", content.dataset_split, "dataset_split"),
+    "export_dataset_manifest": _manifest,
+    "validate_dataset_schema": _schema,
+    "generate_data_dictionary": _dictionaries,
+    "attach_provenance_metadata": _provenance,
+    "compute_economic_indicators": _content("orders", profiles.economic_trend, "economic_indicators"),
+    "build_timeline_index": _content(
+        "events", lambda df: profiles.timeline(df, "user_id", "ts", "event_id"), "timeline"
+    ),
+    "compute_record_metrics": _metrics,
     "compute_time_series": lambda run: run.write(
         marts.time_series_monthly(run.domain.corrections), "time_series"
     ),
@@ -137,22 +208,31 @@ def run_pipeline(
     run_id: str,
     as_of: date,
     resume: bool = False,
+    tables: dict[str, DataFrame] | None = None,
+    allow_missing: bool = False,
 ) -> list[tuple[str, str, int]]:
     """Run a payload's steps in order and return (step, status, records).
 
+    ``tables`` holds the content tables that text and dataset steps read.  A
+    payload with a step that has no job is refused before anything runs; with
+    ``allow_missing`` such steps are logged as ``no_job``.
     Every finished step is appended to the ledger.  With ``resume``, steps the
     ledger knows as done are skipped; a failing step is logged and raised.
     """
+    plan = _plan(spark, payload)
+    missing = [step for step in plan if step not in JOBS]
+    if missing and not allow_missing:
+        raise ValueError("steps without a job: " + ", ".join(missing))
     ledger = f"{folder}/_ledger"
     done = finished_steps(spark, ledger, run_id) if resume else set()
-    run, outcome = Run(spark, domain, folder, as_of), []
+    run, outcome = Run(spark, domain, folder, as_of, tables or {}), []
 
     def log(number: int, step: str, status: str, records: int) -> None:
         outcome.append((step, status, records))
         row = (run_id, number, step, status, records, datetime.now())
         spark.createDataFrame([row], LEDGER).write.mode("append").parquet(ledger)
 
-    for number, step in enumerate(_plan(spark, payload), start=1):
+    for number, step in enumerate(plan, start=1):
         if step in done:
             outcome.append((step, "skipped", 0))
         elif step not in JOBS:

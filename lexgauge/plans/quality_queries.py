@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lexgauge.functions.checksums import (
     CHECKSUM_PATTERN,
-    ordered_checksum,
     table_digest,
     with_record_checksum,
 )
@@ -169,8 +168,12 @@ def _(spark, sf_dir):
     title_stats = with_record_checksum(
         marts.trends_by_title(dom.corrections(spark, sf_dir)), {n: n for n in names}
     )
-    # One row per title of the code, a closed list of about fifty.
-    return ordered_checksum(title_stats, "title")
+    # One row per title of the code, a closed list of about fifty; whole tables have table_digest.
+    ordered = F.array_sort(F.collect_list(F.struct("title", "checksum")))
+    return title_stats.agg(
+        F.count("*").alias("record_count"),
+        F.md5(F.array_join(F.transform(ordered, lambda r: r["checksum"]), "")).alias("aggregate_checksum"),
+    )
 
 
 @query(
@@ -408,7 +411,7 @@ def _(spark, sf_dir):
 
 @query(
     "impact_score",
-    with_(_SNAPSHOTS)
+    with_(_SNAPSHOTS.replace("FROM corrections WHERE", "FROM corrections WHERE title <> 13 AND", 1))
     + """,
     counted AS (
         SELECT title, count(old_checksum) AS old_count, count(new_checksum) AS new_count,
@@ -418,13 +421,13 @@ def _(spark, sf_dir):
            round(changed / old_count, 4) AS amendment_frequency, round(differing / n, 4) AS checksum_variance,
            round(((new_count - old_count) / old_count + changed / old_count + differing / n) / 3 * 100, 2)
                AS impact_score
-    FROM counted WHERE old_count > 0""",
+    FROM (SELECT title, nullif(old_count, 0) AS old, * EXCLUDE (title) FROM counted)""".replace("/ old_count", "/ old"),
 )
 def _(spark, sf_dir):
     domain = load_domain(spark, sf_dir)
-    return snapshots.impact_score(
-        snapshots.earlier(domain).stored_corrections(), snapshots.later(domain).stored_corrections()
-    )
+    # Title 13 is new in the later snapshot.
+    earlier = snapshots.earlier(domain).stored_corrections().filter("title <> 13")
+    return snapshots.impact_score(earlier, snapshots.later(domain).stored_corrections())
 
 
 _WORDS = "CASE WHEN part IS NOT NULL THEN 2000 WHEN chapter IS NOT NULL THEN 10000 ELSE 50000 END"

@@ -153,7 +153,9 @@ def top_rvi_lake(domain: Domain, limit: int = 20) -> DataFrame:
     )
 
 
-def _top(domain: Domain, measure: str, limit: int) -> DataFrame:
+def _top(domain: Domain, measure: str, limit: int, cap: int | None) -> DataFrame:
+    if cap is not None and limit > cap:
+        raise ValueError(f"limit {limit} is over the view's cap of {cap}; pass cap=None to lift it")
     return (
         marts.serving_metrics(domain)
         .filter(F.col(measure) > 0)
@@ -166,16 +168,18 @@ def _top(domain: Domain, measure: str, limit: int) -> DataFrame:
             F.col("cfr_reference_count").alias("total_cfr_references"),
         )
         .orderBy(F.desc(measure), "slug")
-        .limit(min(limit, VIEW_CAP))
+        .limit(limit)
     )
 
 
-def top_by_corrections(domain: Domain, limit: int = 20) -> DataFrame:
-    return _top(domain, "total_corrections", limit)
+def top_by_corrections(domain: Domain, limit: int = 20, cap: int | None = VIEW_CAP) -> DataFrame:
+    """Most corrected agencies; a limit over the view's cap is refused, ``cap=None`` lifts it."""
+    return _top(domain, "total_corrections", limit, cap)
 
 
-def top_by_rvi(domain: Domain, limit: int = 20) -> DataFrame:
-    return _top(domain, "rvi", limit)
+def top_by_rvi(domain: Domain, limit: int = 20, cap: int | None = VIEW_CAP) -> DataFrame:
+    """Highest index; a limit over the view's cap is refused, ``cap=None`` lifts it."""
+    return _top(domain, "rvi", limit, cap)
 
 
 # -- corrections ------------------------------------------------------------
@@ -214,20 +218,15 @@ def corrections_list(
         rows = rows.filter(F.col("lag_days") >= min_lag)
     if search:
         rows = rows.filter(matches(search, "cfr_reference", "corrective_action"))
-    if limit is None:
-        return rows
-    return (
-        rows.orderBy(F.desc("year"), F.desc_nulls_last("error_corrected"), "ecfr_id")
-        .offset(offset)
-        .limit(limit)
-    )
+    ordered = rows.orderBy(F.desc("year"), F.desc_nulls_last("error_corrected"), "ecfr_id").offset(offset)
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def recent_corrections(corrections: DataFrame) -> DataFrame:
+def recent_corrections(corrections: DataFrame, limit: int = RECENT_CAP) -> DataFrame:
     return (
         corrections.select(*CORRECTION_COLUMNS)
         .orderBy(F.desc_nulls_last("error_corrected"), F.desc("year"), "ecfr_id")
-        .limit(RECENT_CAP)
+        .limit(limit)
     )
 
 

@@ -22,7 +22,7 @@ def _work_folder(spark, name: str) -> str:
 @query("stream_activity", EVENT_SERIES)
 def _(spark, sf_dir):
     folder = _work_folder(spark, "activity")
-    activity = stream.daily_activity(stream.read_events(spark, _event_files(sf_dir)))
+    activity = stream.daily_activity(stream.read_events(spark, _event_files(sf_dir)), "1 day")
     stream.write_activity(activity, f"{folder}/out", f"{folder}/state").awaitTermination()
     return stream.current_activity(spark, f"{folder}/out")
 
@@ -33,5 +33,5 @@ def _(spark, sf_dir):
     # Every event is delivered twice; the log keeps one of each.
     once = stream.read_events(spark, _event_files(sf_dir))
     twice = once.unionByName(stream.read_events(spark, _event_files(sf_dir)))
-    stream.write_log(stream.distinct_events(twice), f"{folder}/out", f"{folder}/state").awaitTermination()
+    stream.write_log(stream.distinct_events(twice, "1 day"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out")

@@ -25,7 +25,7 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
     return reader.parquet(path).withColumn("at", F.expr(_TO_INSTANT.format("ts"))).drop("ts")
 
 
-def daily_activity(events: DataFrame, lateness: str = "1 day") -> DataFrame:
+def daily_activity(events: DataFrame, lateness: str) -> DataFrame:
     """Events per day and type; state of closed days is dropped.
 
     Choose ``lateness`` no smaller than the events' real delay: what arrives
@@ -76,7 +76,7 @@ def current_activity(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
-def distinct_events(events: DataFrame, lateness: str = "1 day") -> DataFrame:
+def distinct_events(events: DataFrame, lateness: str) -> DataFrame:
     """The event log without repeated deliveries.
 
     Repeats are told by id within the lateness, so state stays bounded; events
@@ -96,6 +96,13 @@ def distinct_events(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     )
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came too late for the state and were left out, over the batches the query still remembers."""
+    return sum(
+        state["numRowsDroppedByWatermark"] for batch in query.recentProgress for state in batch["stateOperators"]
+    )
+
+
 def write_log(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return (
         events.writeStream.outputMode("append")
