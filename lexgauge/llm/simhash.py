@@ -248,14 +248,15 @@ def links(prints: DataFrame, radius: int = 4, count: int = 5, joined: int = 1) -
     """Links (u, v) between distinct fingerprints ``fp`` that join exactly the pairs within ``radius``.
 
     A shard yields a star per group of linked fingerprints, never all its
-    pairs.  The trees are planned on the ``SAMPLE`` fingerprints with the
-    smallest hash; that bounds what the driver sees and the tasks receive.
+    pairs.  The trees are planned on about ``SAMPLE`` fingerprints, those whose
+    hash is small; that bounds what the driver sees and the tasks receive.
     ``count`` and ``joined`` choose the bands: (5, 1) makes 5 copies of each
     fingerprint, (6, 2) 15 copies and (7, 3) 35 copies with shards that stay
     small for 10^8 and 10^10 fingerprints.
     """
-    chosen = prints.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
-    sample = np.array([r["fp"] for r in chosen], np.int64).view(np.uint64)
+    share = min(1.0, SAMPLE / max(prints.count(), 1))
+    chosen = prints.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()
+    sample = np.array(sorted(r["fp"] for r in chosen), np.int64).view(np.uint64)
     if not len(sample):
         return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
     trees = [Tree(mask, reach, sample, seed) for seed, (mask, reach) in enumerate(bands(count, radius, joined))]
