@@ -212,4 +212,6 @@ def quality(docs: DataFrame, rules: Rules = Rules(), reference: DataFrame | None
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows that pass, with their own columns only."""
-    return quality(docs, rules).where("kept").select("row.*")
+    scored = quality(docs, rules).select("row", "kept", F.monotonically_increasing_id().alias("place"))
+    # The row's place keeps the filter above the scores; pushed below them it would repeat their expressions.
+    return scored.where(F.col("kept") & (F.col("place") >= 0)).select("row.*")
