@@ -175,7 +175,7 @@ class WordCache:
     #: Stands between the pieces that are encoded together; it is a token of its own.
     BREAK = "\0"
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         import re
 
         from tokenizers import Tokenizer
@@ -185,6 +185,8 @@ class WordCache:
         self.tokenizer.encode_special_tokens = True
         self.split = re.compile(f"[{self.SPACE}]+").split
         self.cut = re.compile(rf"[^\W\d_]+|(?:[^\w{self.SPACE}]|[\d_])+").findall
+        # Text in ASCII needs no look at character classes.
+        self.cut_ascii = re.compile(r"[a-z]+|[\0-\x08\x0e-\x1f!-`{-\x7f]+").findall
         self.most = most
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -192,6 +194,8 @@ class WordCache:
 
     def pieces(self, text: str) -> list[str]:
         lowered = text.lower()
+        if text.isascii() and "'" not in text:
+            return self.cut_ascii(lowered)
         # A capital sigma is lowered by its place in the word, and not so by the tokenizer.
         if "'" in text or "\u03a3" in text or not (is_normalized("NFC", text) and is_normalized("NFC", lowered)):
             return self.split(text)
