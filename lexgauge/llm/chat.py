@@ -111,14 +111,20 @@ def format_chats(conversations: DataFrame, tokenizer: str) -> DataFrame:
         template = Template(encoder.get_vocab_size())
 
         def ids(texts: list[str]) -> list[np.ndarray]:
-            coded = encoder.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(c.ids, np.int64) for c in coded]
+            # Few at a time: an encoding holds far more than its ids.
+            return [
+                np.array(coded.ids, np.int32)
+                for begin in range(0, len(texts), 128)
+                for coded in encoder.encode_batch_fast(texts[begin : begin + 128], add_special_tokens=False)
+            ]
 
         for table in whole_groups(stream, ["conv_id"], 1000):
             conv = table.column("conv_id").to_pylist()
             roles, texts = table.column("role").to_pylist(), table.column("text").to_pylist()
             # Texts are encoded with their control strings escaped, so decoding gives the rendered text.
-            text_ids, role_ids = ids([escape(t) for t in texts]), ids([escape(r) for r in roles])
+            text_ids, names = ids([escape(t) for t in texts]), sorted(set(roles))
+            by_role = dict(zip(names, ids([escape(r) for r in names])))
+            role_ids = [by_role[r] for r in roles]
             edges = [0, *(i for i in range(1, len(conv)) if conv[i] != conv[i - 1]), len(conv)]
             rows = []
             for a, b in zip(edges, edges[1:]):
