@@ -3,10 +3,9 @@
 Every document belongs to a cell: its source, language and topic.  Raking
 scales the cells' token counts until their sums over each of the three
 dimensions meet target shares, changing nothing else about how the dimensions
-go together.  A cell's weight over its tokens is what its documents must be
-sampled with; divided by the largest such value it is a probability, so the
-sample is as large as it can be without repeating a document.  A document is
-taken when its own hash is below the probability.
+go together.  A cell's weight over its tokens, times the size of the sample, is
+the probability of its documents, at most 1, so none is repeated.  A document
+is taken when its own hash is below the probability.
 
 Built-in functions only.  The cells are one row: the token counts combine
 inside the tasks, and the categories are those of the targets plus one for all
@@ -86,7 +85,7 @@ def _with_categories(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows
 
 
-def raked(counts: DataFrame, targets: DataFrame, rounds: int = 20) -> DataFrame:
+def raked(counts: DataFrame, targets: DataFrame, rounds: int = 20, budget: float | None = None) -> DataFrame:
     """Category cells (k_source, k_lang, k_topic) with tokens, raked weight and sampling probability.
 
     The cells, bounded by the targets, are brought into one partition; the
@@ -110,7 +109,12 @@ def raked(counts: DataFrame, targets: DataFrame, rounds: int = 20) -> DataFrame:
             reached = F.sum("weight").over(Window.partitionBy(f"k_{d}"))
             cells = cells.withColumn("weight", F.coalesce(F.col("weight") * F.col(f"share_{d}") / reached, F.col("weight")))
     rate = F.col("weight") / F.col("tokens")
-    return materialize(cells.select(*keys, "tokens", "weight", (rate / F.max(rate).over(Window.partitionBy())).alias("p")))
+    everything = Window.partitionBy()
+    if budget is None:
+        p = rate / F.max(rate).over(everything)
+    else:
+        p = F.least(F.lit(1.0), rate * budget * F.sum("tokens").over(everything))
+    return materialize(cells.select(*keys, "tokens", "weight", p.alias("p")))
 
 
 def mix(
@@ -119,17 +123,21 @@ def mix(
     topic: Column | None = None,
     rounds: int = 20,
     temper: float = 0.7,
+    budget: float | None = 0.5,
     seed: int = 11,
 ) -> DataFrame:
     """Every row with its dimensions, tokens, probability and whether it is sampled.
 
     ``targets`` (dimension, category, share) may name any categories, with
     ``*`` for all others; by default the data's own tempered shares are taken.
+    ``budget`` is the sample's size as a share of all tokens; cells with fewer
+    tokens than their weight asks for are taken whole.  Without a budget the
+    sample is the largest one that meets every cell's weight.
     """
     rows = with_cells(docs, topic)
     counts = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     targets = materialize(tempered_targets(counts, temper) if targets is None else targets)
-    rates = raked(counts, targets, rounds)
+    rates = raked(counts, targets, rounds, budget)
     keys = [f"k_{d}" for d in DIMENSIONS]
     placed = _with_categories(rows, targets).join(rates.select(*keys, "p"), keys, "left")
     own = F.coalesce(F.col("row.doc_id").cast("string"), F.col("row.text"))

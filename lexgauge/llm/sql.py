@@ -121,7 +121,7 @@ WITH docs AS (
   SELECT source, lang, topic, sum(tokens) AS tokens, sum(tokens) / sum(sum(tokens)) OVER () AS weight
   FROM rows_ GROUP BY source, lang, topic HAVING sum(tokens) > 0
 ), {', '.join(steps)}, rates AS (
-  SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS p FROM {last}
+  SELECT source, lang, topic, least(1.0, weight / tokens * 0.5 * sum(tokens) OVER ()) AS p FROM {last}
 )
 SELECT doc_id, source, lang, topic, tokens, round(coalesce(p, 0), 9) AS probability,
   CAST('0x' || substr(md5('11|' || coalesce(CAST(doc_id AS VARCHAR), t)), 1, 13) AS BIGINT) / pow(16, 13) < coalesce(p, 0) AS sampled

@@ -46,10 +46,19 @@ def test_the_sample_follows_the_probabilities(spark):
         [("source", "hot", 0.5), ("source", "b", 0.5), ("lang", "en", 1.0), ("topic", "prose", 1.0)],
         "dimension string, category string, share double",
     )
-    table = mixing.mix(plain.documents(spark, rows), targets)
+    table = mixing.mix(plain.documents(spark, rows), targets, budget=None)
     kept = {r[0]: r[1] for r in table.where("sampled").groupBy("source").agg(F.count("*")).collect()}
     assert kept["b"] == 1000 and abs(kept["hot"] - 1000) < 100
 
 
+def test_a_budget_takes_small_cells_whole(spark):
+    rows = [("a", "en", "p", 900), ("b", "en", "p", 100)]
+    counts = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    shares = [("source", "a", 0.5), ("source", "b", 0.5), ("lang", "en", 1.0), ("topic", "p", 1.0)]
+    targets = spark.createDataFrame(shares, "dimension string, category string, share double")
+    p = {r["k_source"]: r["p"] for r in mixing.raked(counts, targets, 3, 0.5).collect()}
+    assert p == {"a": pytest.approx(250 / 900), "b": 1.0}
+
+
 def test_empty(spark):
     assert mixing.mix(plain.documents(spark, [])).count() == 0
