@@ -12,8 +12,14 @@ starts at every word of every document; bit-sampling LSH compares a few random
 steps of it with the same steps of the items of each length, again and again
 over several walks.  Every hit is verified with the exact edit distance.
 
+Walks drift apart with the number of edits, so items are searched in pieces of
+bounded length: when a stretch is within ``k`` edits of an item, some piece of
+``m`` of its ``n`` words is within ``k * m / n`` edits of a part of the stretch.
+The longer the item, the more pieces can find it; the effort for a word of a
+document depends on the lengths of pieces only.
+
 Before a walk starts, a lossless count decides whether it can lead anywhere:
-a window within ``k`` edits of ``n`` words holds at least ``n - k`` words of
+a window within ``k`` edits of ``m`` words holds at least ``m - k`` words of
 the benchmark's vocabulary.  The count removes no match.
 
 Items under ``min_words`` words are left out, as they occur everywhere; null
@@ -42,6 +48,8 @@ PASS_WORDS = 1 << 21
 #: Windows that walk together.
 CHUNK = 1 << 15
 TABLE_BITS = 14
+#: Fewest words of a piece of an item that has more; a piece has less than twice as many.
+PIECE_WORDS = 14
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,15 +57,20 @@ def words_of(text: str | None) -> list[str]:
 
 
 def edits(pattern: list[int], text: list[int]) -> int:
-    """Fewest edits between the pattern and any stretch of the text, with bit vectors as long as the pattern."""
+    """Fewest edits between the pattern and any stretch of the text."""
+    return _closest(pattern, text)[0]
+
+
+def _closest(pattern: list[int], text: list[int]) -> tuple[int, int]:
+    """Fewest edits and the end of the first stretch that needs no more, with bit vectors as long as the pattern."""
     masks: dict[int, int] = {}
     for i, word in enumerate(pattern):
         masks[word] = masks.get(word, 0) | 1 << i
     size = len(pattern)
     full, last = (1 << size) - 1, 1 << (size - 1)
     plus, minus, score = full, 0, size
-    best = score
-    for word in text:
+    best, end = score, 0
+    for place, word in enumerate(text):
         equal = masks.get(word, 0)
         across = equal | minus
         equal = (((equal & plus) + plus) ^ plus) | equal
@@ -70,8 +83,23 @@ def edits(pattern: list[int], text: list[int]) -> int:
         up, down = up << 1 & full, down << 1 & full
         plus = down | ~(across | up) & full
         minus = up & across
-        best = min(best, score)
-    return best
+        if score < best:
+            best, end = score, place + 1
+    return best, end
+
+
+def _first_word(pattern: list[int], text: list[int], end: int) -> int:
+    """The first word of the shortest stretch that ends at ``end``, the end that ``_closest`` gave.
+
+    No stretch that ends before it is as close, so the reversed search finds this one.
+    """
+    return end - _closest(pattern[::-1], text[:end][::-1])[1]
+
+
+def _cuts(words: int) -> list[int]:
+    """Where the pieces of an item of so many words begin and end."""
+    pieces = max(1, words // PIECE_WORDS)
+    return [words * i // pieces for i in range(pieces + 1)]
 
 
 def _odd(chance: np.random.Generator, shape: tuple[int, ...]) -> np.ndarray:
@@ -80,14 +108,19 @@ def _odd(chance: np.random.Generator, shape: tuple[int, ...]) -> np.ndarray:
 
 @dataclass
 class Lengths:
-    """Items of like length, how long their walks are, and what is sampled of them."""
+    """Pieces of like length, how long their walks are, and what is sampled of them."""
 
     shortest: int
     steps: int
     places: list[int] = field(default_factory=list)
-    lengths: set[int] = field(default_factory=set)
+    offsets: list[int] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
+    #: The most edits of a window of each length.
+    slack: dict[int, int] = field(default_factory=dict)
     chosen: np.ndarray | None = None
+    #: Sorted keys of each sample of each walk, and the pieces they belong to.
     keys: np.ndarray | None = None
+    order: np.ndarray | None = None
     table: np.ndarray | None = None
 
 
@@ -97,7 +130,7 @@ class Search:
 
     items: list[tuple[int, list[str]]]
     rate: float = 0.2
-    walks: int = 6
+    walks: int = 10
     samples: int = 8
     positions: int = 4
     seed: int = 13
@@ -117,25 +150,36 @@ class Search:
         self.mix = _odd(chance, (self.positions,))
         for c in self.classes:
             c.chosen = chance.integers(0, c.steps, (self.walks, self.samples, self.positions))
-            c.keys = np.empty((self.walks, self.samples, len(c.places)), np.uint64)
+            # The pieces one after the other, each with what its walks may read past its end.
+            gap = np.zeros(c.steps + 1, np.uint32)
+            parts = [self.coded[place][offset : offset + size] for place, offset, size in zip(c.places, c.offsets, c.sizes)]
+            starts = np.cumsum([0] + [len(part) + len(gap) for part in parts])[:-1]
+            joined = np.concatenate([x for part in parts for x in (part, gap)])
+            keys = np.stack([self._keys(self._walk(joined, starts, walk, c.steps), c, walk) for walk in range(self.walks)])
+            c.order = np.argsort(keys, axis=2, kind="stable")
+            c.keys = np.take_along_axis(keys, c.order, axis=2)
             c.table = np.zeros((self.walks, self.samples, 1 << TABLE_BITS), bool)
             for walk in range(self.walks):
-                for column, place in enumerate(c.places):
-                    words = self._walk(self.coded[place], np.zeros(1, np.int64), walk, c.steps)
-                    c.keys[walk, :, column] = self._keys(words, c, walk)[:, 0]
                 for sample in range(self.samples):
                     c.table[walk, sample, c.keys[walk, sample] >> np.uint64(64 - TABLE_BITS)] = True
 
     def _classes(self) -> list[Lengths]:
-        """Items of like length: windows of a class share their walks, which stay inside its shortest item."""
-        order = sorted(range(len(self.coded)), key=lambda p: len(self.coded[p]))
+        """Pieces of like length: windows of a class share their walks, which stay inside its shortest piece."""
+        pieces = []
+        for place, coded in enumerate(self.coded):
+            cuts = _cuts(len(coded))
+            pieces += [(end - begin, place, begin) for begin, end in zip(cuts, cuts[1:])]
         classes: list[Lengths] = []
-        for place in order:
+        for size, place, begin in sorted(pieces):
+            if not classes or size > classes[-1].shortest * 1.35:
+                classes.append(Lengths(size, int(1.6 * size)))
+            c = classes[-1]
+            c.places.append(place)
+            c.offsets.append(begin)
+            c.sizes.append(size)
             n = len(self.coded[place])
-            if not classes or n > classes[-1].shortest * 1.35:
-                classes.append(Lengths(n, int(1.6 * n)))
-            classes[-1].places.append(place)
-            classes[-1].lengths.add(n)
+            # Rounded up, so that pieces with an edit more than their share are found, too.
+            c.slack[size] = max(c.slack.get(size, 0), -(-int(self.rate * n) * size // n))
         return classes
 
     def _walk(self, tokens: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> np.ndarray:
@@ -160,16 +204,17 @@ class Search:
         return out
 
     def candidates(self, tokens: np.ndarray) -> np.ndarray:
-        """Pairs (start, item place) that some sample of some walk brings together."""
+        """Triples (start, item place, offset of the piece) that some sample of some walk brings together."""
         known = np.concatenate(([0], np.cumsum(tokens > 0)))
         found = []
         for c in self.classes:
             able = np.zeros(len(tokens), bool)
-            for n in c.lengths:
+            for m, slack in c.slack.items():
                 # Past the end of the words nothing more is known.
-                end = np.minimum(np.arange(n, n + len(tokens)), len(tokens))
-                able |= known[end] - known[:-1] >= n - int(self.rate * n)
+                end = np.minimum(np.arange(m, m + len(tokens)), len(tokens))
+                able |= known[end] - known[:-1] >= m - slack
             starts = np.flatnonzero(able)
+            places, offsets = np.array(c.places), np.array(c.offsets)
             for begin in range(0, len(starts), CHUNK):
                 part = starts[begin : begin + CHUNK]
                 for walk in range(self.walks):
@@ -179,40 +224,60 @@ class Search:
                         maybe = np.flatnonzero(c.table[walk, sample][slots[sample]])
                         if not len(maybe):
                             continue
-                        same = keys[sample, maybe][:, None] == c.keys[walk, sample]
-                        row, column = np.nonzero(same)
-                        found.append(np.stack([part[maybe[row]], np.array(c.places)[column]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                        low = np.searchsorted(c.keys[walk, sample], keys[sample, maybe], "left")
+                        times = np.searchsorted(c.keys[walk, sample], keys[sample, maybe], "right") - low
+                        row = np.repeat(np.arange(len(maybe)), times)
+                        piece = c.order[walk, sample][np.arange(len(row)) - np.repeat(np.cumsum(times) - times - low, times)]
+                        found.append(np.stack([part[maybe[row]], places[piece], offsets[piece]], axis=1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def matches(self, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
-        """(text number, item_id, fewest edits, first word of the window) for each contaminated text and item."""
+        """(text number, item_id, fewest edits, first word of the closest stretch) for each contaminated text and item."""
         lookup = self.vocabulary.get
         gap = np.zeros(self.slack + 1, np.uint32)
         coded = [np.array([lookup(w, 0) for w in words], np.uint32) for words in texts]
         tokens = np.concatenate([part for one in coded for part in (one, gap)]) if coded else gap
         edges = np.cumsum([0] + [len(one) + len(gap) for one in coded])
-        pairs = self.candidates(tokens)
-        if not len(pairs):
+        hits = self.candidates(tokens)
+        if not len(hits):
             return []
-        owner = np.searchsorted(edges, pairs[:, 0], "right") - 1
+        sizes = np.array([len(item) for item in self.coded])
+        slack = np.array([int(self.rate * size) for size in sizes])
+        owner = np.searchsorted(edges, hits[:, 0], "right") - 1
+        place = hits[:, 1]
+        # The stretch begins within k words of the piece's start less its offset; a walk may also start a little beside the piece.
+        begin = hits[:, 0] - hits[:, 2]
+        low = np.maximum(edges[owner], begin - 2 * slack[place])
+        high = np.minimum(edges[owner + 1] - len(gap), begin + sizes[place] + 2 * slack[place])
+        order = np.lexsort((low, owner, place))
+        place, owner, low, high = place[order], owner[order], low[order], high[order]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for place in np.unique(pairs[:, 1]).tolist():
-            item = self.coded[place]
-            n, k = len(item), int(self.rate * len(item))
-            mine = pairs[:, 1] == place
+        at = 0
+        for number in np.unique(place).tolist():
+            item = self.coded[number]
+            n, k, pattern = len(item), int(slack[number]), item.tolist()
             inside = np.zeros(len(self.vocabulary) + 1, bool)
             inside[item] = True
-            held = np.concatenate(([0], np.cumsum(inside[tokens])))
-            starts, owners = pairs[mine, 0], owner[mine]
-            enough = held[np.minimum(starts + n, len(tokens))] - held[starts] >= n - k
-            pattern = item.tolist()
-            for start, text in zip(starts[enough].tolist(), owners[enough].tolist()):
-                low, high = int(edges[text]), int(edges[text]) + len(coded[text])
-                away = edits(pattern, tokens[max(low, start - k) : min(high, start + n + k)].tolist())
-                key = (text, place)
-                if away <= k and (key not in best or away < best[key][0]):
-                    best[key] = away, start - low
-        return [(text, self.items[place][0], away, start) for (text, place), (away, start) in sorted(best.items())]
+            last = int(np.searchsorted(place, number, "right"))
+            while at < last:
+                # Stretches that overlap are one.
+                text, first, end = int(owner[at]), int(low[at]), int(high[at])
+                at += 1
+                while at < last and owner[at] == text and low[at] <= end:
+                    end = max(end, int(high[at]))
+                    at += 1
+                if end - first < n - k:
+                    continue
+                part = tokens[first:end]
+                held = np.concatenate(([0], np.cumsum(inside[part])))
+                if (held[n:] - held[:-n]).max(initial=held[-1] if len(part) < n else 0) < n - k:
+                    continue
+                words = part.tolist()
+                away, stop = _closest(pattern, words)
+                if away > k or away >= best.get((text, number), (n, 0))[0]:
+                    continue
+                best[text, number] = away, first - int(edges[text]) + _first_word(pattern, words, stop)
+        return [(text, self.items[number][0], away, start) for (text, number), (away, start) in sorted(best.items())]
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:

@@ -102,3 +102,40 @@ def test_empty(spark):
     assert decontaminate.contaminated(docs, bench(spark, [(1, plain.prose(1, 20))])).count() == 0
     assert decontaminate.contaminated(plain.documents(spark), bench(spark, [])).count() == 0
     assert decontaminate.keep_clean(plain.documents(spark), bench(spark, [])).count() == len(plain.odd_documents())
+
+
+def edited(words, count, kind, chance):
+    """The words after so many edits of one kind at different places."""
+    words = list(words)
+    for at in sorted(chance.choice(len(words), count, False).tolist(), reverse=True):
+        one = ("change", "drop", "add")[chance.integers(3)] if kind == "mixed" else kind
+        if one == "change":
+            words[at] = "changed"
+        elif one == "drop":
+            del words[at]
+        else:
+            words.insert(at, "added")
+    return words
+
+
+@pytest.mark.parametrize("kind", ["change", "mixed", "drop", "add"])
+@pytest.mark.parametrize("size", [15, 27, 59, 100, 200, 300])
+def test_recall_at_the_most_edits(size, kind):
+    chance = np.random.default_rng(size)
+    items = [(i, plain.prose(1000 * size + i, size, 3000).split()) for i in range(40)]
+    texts = []
+    for i, words in items:
+        around = plain.prose(10**6 + i, 80, 3000).split()
+        texts.append(around[:40] + edited(words, int(0.2 * size), kind, chance) + around[40:])
+    found = decontaminate.Search(items).matches(texts)
+    for text, item, away, start in found:
+        pattern = items[item][1]
+        assert away == plain.edit_distance(pattern, texts[text]) <= int(0.2 * size)
+        assert away == plain.edit_distance(pattern, texts[text][start:])
+    assert sum(text == item for text, item, _, _ in found) >= 0.95 * len(items)
+
+
+def test_the_start_is_the_first_word_of_the_stretch():
+    words = plain.prose(9, 60, 3000).split()
+    around = plain.prose(8, 50, 3000).split()
+    assert decontaminate.Search([(3, words)]).matches([around, around[:20] + words[2:] + around[20:]]) == [(1, 3, 2, 20)]
