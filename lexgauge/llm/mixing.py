@@ -7,9 +7,10 @@ go together.  A cell's weight over its tokens, times the size of the sample, is
 the probability of its documents, at most 1, so none is repeated.  A document
 is taken when its own hash is below the probability.
 
-Built-in functions only.  The cells are one row: the token counts combine
-inside the tasks, and the categories are those of the targets plus one for all
-others, so the number of cells is bounded by the targets whatever the data.
+Built-in functions only.  The token counts combine inside the tasks, so that
+each cell is one row; every category has a target of its own by default, however
+many there are.  Raking sums the cells by groups and joins the sums back, so no
+task sees all cells, nor all cells of a common language.
 Null source, language or topic count as the empty string; a null text has no
 tokens and stays with the probability of its cell; repeated rows share their
 hash, rows without doc_id are told apart by their text; an empty table gives
@@ -19,17 +20,15 @@ through untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgauge.llm.common import packed, split_words, unit_hash
 from lexgauge.session import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Categories per dimension that a target made from the data may have; the rest share one category.
-CATEGORIES = 64
+#: The category of a target that stands for all values without a target of their own.
 OTHER = "*"
-ROUNDS_PER_PLAN = 4
 
 
 def topic_of(text: Column) -> Column:
@@ -59,22 +58,16 @@ def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
 def tempered_targets(counts: DataFrame, temper: float = 0.7) -> DataFrame:
     """Targets (dimension, category, share) from the data itself: shares to the power ``temper``.
 
-    A power under 1 moves weight from large categories to small ones.  Each
-    dimension keeps its ``CATEGORIES`` largest ones; ``OTHER`` stands for the rest.
+    A power under 1 moves weight from large categories to small ones.  Every
+    category with tokens has its own target.
     """
     each = counts.select(
         "tokens", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in DIMENSIONS))).alias("x")
     ).select("x.*", "tokens")
     summed = each.groupBy("dimension", "category").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
-    place = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("tokens"), "category"))
-    top = summed.withColumn("place", place).where(F.col("place") <= CATEGORIES).select("dimension", "category", "tokens")
-    rest = (
-        each.join(top.select("dimension", "category"), ["dimension", "category"], "left_anti")
-        .groupBy("dimension").agg(F.sum("tokens").alias("tokens"))
-        .select("dimension", F.lit(OTHER).alias("category"), "tokens")
-    )
-    powered = top.union(rest.where("tokens > 0")).withColumn("p", F.pow("tokens", F.lit(temper)))
-    return powered.select("dimension", "category", (F.col("p") / F.sum("p").over(Window.partitionBy("dimension"))).alias("share"))
+    powered = summed.select("dimension", "category", F.pow("tokens", F.lit(temper)).alias("power"))
+    whole = powered.groupBy("dimension").agg(F.sum("power").alias("whole"))
+    return powered.join(whole, "dimension").select("dimension", "category", (F.col("power") / F.col("whole")).alias("share"))
 
 
 def _with_categories(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -88,10 +81,9 @@ def _with_categories(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def raked(counts: DataFrame, targets: DataFrame, rounds: int = 20, budget: float | None = None) -> DataFrame:
     """Category cells (k_source, k_lang, k_topic) with tokens, raked weight and sampling probability.
 
-    The cells, bounded by the targets, are brought into one partition; the
-    rounds are window sums there and need no exchange.  Every few rounds the
-    cells are written, so that plans stay short.  A dimension keeps the
-    weights of a category without a target.
+    Each scaling sums the weights by category and joins the sums back; the
+    cells are written after every round, so that plans stay short.  A dimension
+    keeps the weights of a category without a target.
     """
     keys = [f"k_{d}" for d in DIMENSIONS]
     cells = _with_categories(counts, targets).groupBy(*keys).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
@@ -99,21 +91,21 @@ def raked(counts: DataFrame, targets: DataFrame, rounds: int = 20, budget: float
         share = targets.where(F.col("dimension") == d).select(F.col("category").alias(f"k_{d}"), F.col("share").alias(f"share_{d}"))
         cells = cells.join(share, f"k_{d}", "left")
     cells = materialize(cells)
-    if not cells.limit(1).count():
+    total = cells.agg(F.sum("tokens")).first()[0]
+    if total is None:
         return cells.select(*keys, "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("p"))
-    cells = cells.coalesce(1).withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
-    for number in range(rounds):
-        if number and number % ROUNDS_PER_PLAN == 0:
-            cells = materialize(cells).coalesce(1)
+    cells = cells.withColumn("weight", F.col("tokens") / F.lit(total))
+    for _ in range(rounds):
         for d in DIMENSIONS:
-            reached = F.sum("weight").over(Window.partitionBy(f"k_{d}"))
-            cells = cells.withColumn("weight", F.coalesce(F.col("weight") * F.col(f"share_{d}") / reached, F.col("weight")))
+            reached = cells.groupBy(f"k_{d}").agg(F.sum("weight").alias("reached"))
+            scaled = F.coalesce(F.col("weight") * F.col(f"share_{d}") / F.col("reached"), F.col("weight"))
+            cells = cells.join(reached, f"k_{d}").withColumn("weight", scaled).drop("reached")
+        cells = materialize(cells)
     rate = F.col("weight") / F.col("tokens")
-    everything = Window.partitionBy()
     if budget is None:
-        p = rate / F.max(rate).over(everything)
+        p = rate / F.lit(cells.agg(F.max(rate)).first()[0])
     else:
-        p = F.least(F.lit(1.0), rate * budget * F.sum("tokens").over(everything))
+        p = F.least(F.lit(1.0), rate * F.lit(budget) * F.lit(total))
     return materialize(cells.select(*keys, "tokens", "weight", p.alias("p")))
 
 
@@ -139,7 +131,9 @@ def mix(
     targets = materialize(tempered_targets(counts, temper) if targets is None else targets)
     rates = raked(counts, targets, rounds, budget)
     keys = [f"k_{d}" for d in DIMENSIONS]
-    placed = _with_categories(rows, targets).join(rates.select(*keys, "p"), keys, "left")
+    # One row per source, language and topic of the data: a single join for the documents.
+    own_cells = materialize(_with_categories(counts, targets).join(rates.select(*keys, "p"), keys).select(*DIMENSIONS, "p"))
+    placed = rows.join(own_cells, list(DIMENSIONS), "left")
     own = F.coalesce(F.col("row.doc_id").cast("string"), F.col("row.text"))
     return placed.select(
         "row", *DIMENSIONS, "tokens", F.coalesce("p", F.lit(0.0)).alias("probability")

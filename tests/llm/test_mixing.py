@@ -62,3 +62,18 @@ def test_a_budget_takes_small_cells_whole(spark):
 
 def test_empty(spark):
     assert mixing.mix(plain.documents(spark, [])).count() == 0
+
+
+def test_every_category_has_its_own_target(spark):
+    # 100 sources, the last 90 of them tied: more than any cap, in an order that names must not decide.
+    sizes = {f"s{i:03d}": 20 - i if i < 10 else 10 for i in range(100)}
+    rows = [(n, "word " * size, ("en", "fr")[n % 2], s, 1) for n, (s, size) in enumerate((s, z) for s, z in sizes.items() for _ in range(2))]
+    docs = plain.documents(spark, rows)
+    counts = docs.selectExpr("source", "lang", "'prose' AS topic", "cast(length(text) / 5 AS bigint) AS tokens")
+    targets = {(r[0], r[1]): r[2] for r in mixing.tempered_targets(counts).collect()}
+    whole = sum((2 * z) ** 0.7 for z in sizes.values())
+    assert {c: share for (d, c), share in targets.items() if d == "source"} == pytest.approx({s: (2 * z) ** 0.7 / whole for s, z in sizes.items()})
+    tokens = sum(2 * z for z in sizes.values())
+    for r in mixing.mix(docs).collect():
+        size = 2 * sizes[r["source"]]
+        assert r["probability"] == pytest.approx(size**0.7 / whole * 0.5 * tokens / size)
