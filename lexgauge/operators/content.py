@@ -186,17 +186,24 @@ def dataset_split(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", split_of(F.col("doc_id")).alias("split"))
 
 
-def dataset_manifest(docs: DataFrame, expected: dict[str, str]) -> DataFrame:
-    """Per split: rows, characters, digest, and whether the columns are the expected ones."""
+def dataset_manifest(docs: DataFrame, expected: dict[str, str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Per split: rows, characters, digest, and whether the columns are the expected ones.
+
+    The digest covers every column, ``text`` by the SHA-256 of the whole text;
+    ``columns`` narrows it to some.
+    """
     found = dict(docs.dtypes)
     problems = [f"{n}: missing" for n in expected if n not in found]
     problems += [f"{n}: {found[n]} instead of {kind}" for n, kind in expected.items() if found.get(n, kind) != kind]
     problems += [f"{n}: unexpected" for n in found if n not in expected]
-    members = {n: F.col(n) for n in ("doc_id", "lang", "n_chars", "source")}
+    members = {n: F.sha2(F.encode(n, "UTF-8"), 256) if n == "text" else F.col(n) for n in (docs.columns if columns is None else columns)}
     hashed = with_record_checksum(docs.withColumn("split", split_of(F.col("doc_id"))), members)
     result = None
     for name, _ in SPLITS:
-        row = table_digest(hashed.filter(F.col("split") == name), name).withColumn("schema_problems", F.lit("; ".join(problems)))
+        part = hashed.filter(F.col("split") == name)
+        chars = F.length("text") if "text" in found else F.lit(0)
+        characters = part.agg(F.coalesce(F.sum(chars.cast("bigint")), F.lit(0)).alias("characters")).scalar()
+        row = table_digest(part, name).select("*", characters.alias("characters"), F.lit("; ".join(problems)).alias("schema_problems"))
         result = row if result is None else result.unionByName(row)
     return result
 

@@ -188,6 +188,31 @@ def _manifest_twin() -> str:
 @query("dataset_manifest", _manifest_twin())
 def _(spark, sf_dir):
     expected = {"doc_id": "bigint", "lang": "string", "source": "string", "n_chars": "bigint"}
+    # The twin defines this digest, without text and characters.
+    return content.dataset_manifest(_docs(spark, sf_dir), expected, list(expected)).drop("characters")
+
+
+def _whole_manifest_twin() -> str:
+    lanes = ", ':', ".join(
+        f"sum(CAST('0x' || substr(checksum, {7 * i + 1}, 7) AS BIGINT))" for i in range(8)
+    )
+    return f"""
+    WITH {_SPLIT},
+    hashed AS (
+        SELECT split, length(text) AS chars, sha256(concat('{{"doc_id":', doc_id, ',"lang":"', lang, '","n_chars":', n_chars,
+            ',"source":"', source, '","text":"', sha256(text), '"}}')) AS checksum FROM placed),
+    buckets AS (
+        SELECT split, substr(checksum, 63, 2) AS bucket, count(*) AS n, sum(chars) AS chars,
+            md5(concat(count(*), ':', {lanes})) AS digest
+        FROM hashed GROUP BY ALL)
+    SELECT split AS table_name, CAST(sum(n) AS BIGINT) AS record_count, CAST(sum(chars) AS BIGINT) AS characters,
+           md5(string_agg(digest, '' ORDER BY bucket)) AS aggregate_checksum, '' AS schema_problems
+    FROM buckets GROUP BY split"""
+
+
+@query("dataset_manifest_whole", _whole_manifest_twin())
+def _(spark, sf_dir):
+    expected = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
     return content.dataset_manifest(_docs(spark, sf_dir), expected)
 
 

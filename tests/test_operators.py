@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lexgauge.operators import contracts, ledger, privacy, quality, snapshots
+from lexgauge.operators import content, contracts, ledger, privacy, quality, snapshots
 from lexgauge.operators.steps import steps_for
 from lexgauge.plans import marts, reports
 from lexgauge.sources.domain import Domain
@@ -229,3 +229,16 @@ def test_unknown_error_class(spark):
     df = spark.createDataFrame([("TRANSIENT_ERROR",), ("NEW",)], "kind string")
     rows = {r.kind: (r.http_status, r.retryable) for r in contracts.classify_errors(df, "kind").collect()}
     assert rows == {"TRANSIENT_ERROR": (503, True), "NEW": (500, False)}
+
+
+def test_a_manifest_tells_texts_of_equal_length_apart(spark):
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    expected = dict(part.split() for part in kinds.split(", "))
+
+    def manifest(*texts):
+        docs = spark.createDataFrame([(i, t, "en", "a", 3) for i, t in enumerate(texts)], kinds)
+        return {r["table_name"]: r for r in content.dataset_manifest(docs, expected).collect()}
+
+    one, other = manifest("abc", "dé", None), manifest("abd", "dé", None)
+    assert sum(r["characters"] for r in one.values()) == sum(r["characters"] for r in other.values()) == 5
+    assert len([s for s in one if one[s]["aggregate_checksum"] != other[s]["aggregate_checksum"]]) == 1
