@@ -8,15 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgauge.llm import chat, simple8b, sql
+from lexgauge.llm import chat, licenses, simple8b, sql
 from lexgauge.llm.common import documents
 from lexgauge.llm.decontaminate import contaminated
 from lexgauge.llm.langid import identify
 from lexgauge.llm.lines import build, drop_frequent
 from lexgauge.llm.mixing import mix
+from lexgauge.llm.negatives import mine
 from lexgauge.llm.quality import quality
 from lexgauge.llm.sharding import interleave
 from lexgauge.llm.simhash import near_groups
+from lexgauge.llm.spelling import variants, vocabulary
 from lexgauge.llm.toxicity import toxicity
 from lexgauge.session import checkpoint_root
 from lexgauge.sources.tables import read_table
@@ -100,6 +102,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (label + 1) % 10).otherwise(label)
+    return mine(read_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(vocabulary(documents(spark, sf_dir), slip=31))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+
+
 QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_chat": op2_chat,
@@ -111,10 +127,15 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_shards": op9_shards,
     "op10_toxicity": op10_toxicity,
+    "op11_negatives": op11_negatives,
+    "op12_spelling": op12_spelling,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLES = {
     "op7_lines": sql.LINES,
     "op8_quality": sql.QUALITY,
     "op3_mix": sql.MIX,
+    "op11_negatives": sql.NEGATIVES,
+    "op12_spelling": sql.SPELLING,
 }

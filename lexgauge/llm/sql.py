@@ -130,3 +130,75 @@ FROM rows_ LEFT JOIN rates USING (source, lang, topic)
 
 
 MIX = _mix()
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, as an unsigned number: one table step per byte."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    entries = f"[{', '.join(map(str, table))}]::UBIGINT[]"
+    digits = f"hex(encode({text}))"
+    start = "CAST(4294967295 AS UBIGINT)"
+    octets = f"list_transform(range(1, length({digits}), 2), lambda k: CAST('0x' || substr({digits}, k, 2) AS UBIGINT))"
+    step = f"lambda c, b: xor(({entries})[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8)"
+    return f"xor(list_reduce(list_concat([{start}], {octets}), {step}), {start})"
+
+
+SPELLING = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), hashed AS (
+  SELECT run, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs
+), slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word
+  FROM hashed
+), words AS (
+  SELECT word, count(*) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words
+), patterns AS (
+  SELECT word, n, substr(word, 1, k - 1) || '*' || substr(word, k + 1) AS blanked, substr(word, 1, k - 1) || substr(word, k + 1) AS shortened
+  FROM places
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM patterns a JOIN patterns b USING (blanked) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM patterns a JOIN words b ON a.shortened = b.word
+  UNION SELECT b.word, a.word, a.n FROM patterns a JOIN words b ON a.shortened = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, CASE WHEN other_n >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.root WHERE form IS NOT NULL
+), ends AS (
+  SELECT walk.word, root FROM walk JOIN formed ON formed.word = walk.root WHERE form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+NEGATIVES = r"""
+WITH used AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM used a JOIN used b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM positives JOIN scored s USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
