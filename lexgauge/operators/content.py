@@ -47,6 +47,11 @@ def _terms(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, _BLANK))
 
 
+def terms_of(text: Column) -> Column:
+    """Words between white space, in lower case; none for null, empty or blank texts."""
+    return _terms(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def validate_documents(docs: DataFrame, languages: Sequence[str] = LANGUAGES, most_chars: int = MOST_CHARS) -> DataFrame:
     """One row per broken rule: text given, not empty, not too long, length as stated, language known."""
     rules = {

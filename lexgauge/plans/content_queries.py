@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from lexgauge.operators import content
+import uuid
+
+from pyspark.sql import functions as F
+
+from lexgauge.operators import classification, content, vectors
 from lexgauge.plans.registry import query
+from lexgauge.session import checkpoint_root, materialize
 from lexgauge.sources.tables import read_table
 
 _WORDS = r"list_filter(string_split_regex({0}, '[ \t\n\r\f]+'), lambda w: w <> '')"
@@ -241,3 +246,51 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return content.embedding_nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("doc_classify")
+def _(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    path = f"{checkpoint_root(spark)}/models/{uuid.uuid4().hex}"
+    return classification.classify(docs, classification.fit_and_write(docs, read_table(spark, sf_dir, "labels"), path))
+
+
+_VECTORS = f"""
+    words AS (
+        SELECT doc_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {vectors.DIMS} AS bucket
+        FROM (SELECT doc_id, unnest({_WORDS.format(f"lower({_TEXT})")}) AS term FROM documents)),
+    counted AS (SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, CAST(count(*) AS INTEGER) AS n FROM words GROUP BY ALL),
+    fitted AS (
+        SELECT bucket, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM counted GROUP BY bucket),
+    weighed AS (
+        SELECT doc_id, bucket, n, n * idf AS weight, sqrt(sum(n * idf * n * idf) OVER (PARTITION BY doc_id)) AS norm
+        FROM counted JOIN fitted USING (bucket))"""
+
+
+@query(
+    "doc_vectors",
+    f"WITH {_VECTORS} SELECT doc_id, bucket, n, round(weight, 6) AS weight, round(norm, 6) AS norm FROM weighed",
+)
+def _(spark, sf_dir):
+    rows = vectors.text_vectors(_docs(spark, sf_dir)).select("doc_id", "norm", F.explode("terms").alias("t"))
+    return rows.select("doc_id", "t.bucket", "t.n", F.round("t.weight", 6).alias("weight"), F.round("norm", 6).alias("norm"))
+
+
+@query(
+    "doc_vector_nearest",
+    f"""
+    WITH {_VECTORS},
+    unit AS (SELECT doc_id, lang, bucket, weight / norm AS w FROM weighed JOIN documents USING (doc_id) WHERE norm > 0),
+    means AS (
+        SELECT lang, bucket, round(sum(w) / any_value(size), 9) AS mean
+        FROM unit JOIN (SELECT lang, count(DISTINCT doc_id) AS size FROM unit WHERE lang IS NOT NULL GROUP BY lang) USING (lang)
+        GROUP BY lang, bucket),
+    centroids AS (SELECT lang AS nearest, bucket, mean / sqrt(sum(mean * mean) OVER (PARTITION BY lang)) AS c FROM means),
+    cosines AS (SELECT doc_id, nearest, round(sum(w * c), 6) AS cosine FROM unit JOIN centroids USING (bucket) GROUP BY ALL),
+    best AS (FROM cosines QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, nearest) = 1)
+    SELECT doc_id, nearest, cosine FROM documents LEFT JOIN best USING (doc_id)""",
+)
+def _(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    found = materialize(vectors.text_vectors(docs).join(docs.select("doc_id", "lang"), "doc_id"))
+    return vectors.nearest_label(found, vectors.label_centroids(found, "lang"))
