@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexgauge.functions.checksums import (
@@ -9,7 +11,7 @@ from lexgauge.functions.checksums import (
     table_digest,
     with_record_checksum,
 )
-from lexgauge.operators import quality, snapshots
+from lexgauge.operators import hash_tree, quality, snapshots
 from lexgauge.plans import marts, reports
 from lexgauge.plans.registry import query
 from lexgauge.plans.sql import (
@@ -23,7 +25,7 @@ from lexgauge.plans.sql import (
     scored,
     with_,
 )
-from lexgauge.session import materialize
+from lexgauge.session import checkpoint_root, materialize
 from lexgauge.sources import domain as dom
 from lexgauge.sources import nested, parsing
 from lexgauge.sources.copies import landed_corrections, serving_agencies
@@ -409,6 +411,21 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "snapshot_tree_diff",
+    with_(_SNAPSHOTS)
+    + "SELECT ecfr_id, old_checksum, new_checksum, change FROM compared WHERE change <> 'same'",
+)
+def _(spark, sf_dir):
+    domain = load_domain(spark, sf_dir)
+    folder = f"{checkpoint_root(spark)}/snapshots/{uuid.uuid4().hex}"
+    old, new = (
+        hash_tree.write_snapshot(state(domain).stored_corrections(), f"{folder}/{name}", "ecfr_id", leaves=64, fanout=8)
+        for name, state in (("old", snapshots.earlier), ("new", snapshots.later))
+    )
+    return hash_tree.tree_diff(old, new)
+
+
 @query(
     "impact_score",
     with_(_SNAPSHOTS.replace("FROM corrections WHERE", "FROM corrections WHERE title <> 13 AND", 1))
