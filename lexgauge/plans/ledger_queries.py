@@ -251,7 +251,10 @@ def _latest(spark, sf_dir):
     return ledger.latest_checkpoints(runs.checkpoint_saves(spark, sf_dir))
 
 
-@query("checkpoint_latest", with_(_LATEST) + "SELECT * EXCLUDE (user_id, names) FROM latest")
+LATEST_CHECKPOINTS = with_(_LATEST) + "SELECT * EXCLUDE (user_id, names) FROM latest"
+
+
+@query("checkpoint_latest", LATEST_CHECKPOINTS)
 def _(spark, sf_dir):
     return _latest(spark, sf_dir)
 

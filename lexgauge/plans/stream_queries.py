@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from lexgauge.plans.ledger_queries import EVENT_SERIES
+from lexgauge.plans.ledger_queries import EVENT_SERIES, LATEST_CHECKPOINTS
 from lexgauge.plans.registry import query
 from lexgauge.session import checkpoint_root
+from lexgauge.streaming import checkpoints
 from lexgauge.streaming import events as stream
 
 
@@ -35,3 +36,11 @@ def _(spark, sf_dir):
     twice = once.unionByName(stream.read_events(spark, _event_files(sf_dir)))
     stream.write_log(stream.distinct_events(twice, "1 day"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("stream_checkpoints", LATEST_CHECKPOINTS)
+def _(spark, sf_dir):
+    folder = _work_folder(spark, "checkpoints")
+    table = checkpoints.CheckpointTable(spark, f"{folder}/table")
+    table.follow(checkpoints.read_saves(spark, _event_files(sf_dir)), f"{folder}/state").awaitTermination()
+    return table.current()

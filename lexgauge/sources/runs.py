@@ -29,10 +29,10 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def checkpoint_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def saves_of(events: DataFrame) -> DataFrame:
     """Every event saves its run's checkpoint."""
     user = F.col("user_id")
-    return read_table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("run-"), user).alias("run_id"),
         F.col("event_id").alias("save_id"),
         F.col("ts").alias("saved_at"),
@@ -45,6 +45,10 @@ def checkpoint_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def checkpoint_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saves_of(read_table(spark, sf_dir, "events"))
+
+
 def tampered(checkpoints: DataFrame) -> DataFrame:
     """Checkpoints of which every tenth run's stored hash was altered."""
     user = F.substring_index("run_id", "-", -1).cast("bigint")
