@@ -127,6 +127,39 @@ MANIFEST_RULES = [
     Rule("enabled", "type", "boolean"),
 ]
 
+# The published contracts as JSON Schema documents.
+PAYLOAD_SCHEMA = {
+    "$schema": "https://json-schema.org/draft/2020-12/schema",
+    "type": "object",
+    "required": ["agency", "content_type", "use_case"],
+    "properties": {
+        "agency": {"type": "string", "pattern": SLUG_PATTERN, "minLength": 3, "maxLength": 64},
+        "content_type": {"type": "string", "enum": CONTENT_TYPES},
+        "use_case": {"type": "string", "enum": USE_CASES},
+        "stage": {"type": "string", "enum": STAGES, "default": DEFAULT_STAGE},
+        "source": {"type": "string", "pattern": SOURCE_PATTERN},
+        "checkpoint_id": {"type": "string", "format": "uuid"},
+        "metadata": {"type": "object", "additionalProperties": True},
+    },
+    "additionalProperties": False,
+}
+MANIFEST_SCHEMA = {
+    "$schema": "https://json-schema.org/draft/2020-12/schema",
+    "type": "object",
+    "required": ["slug", "name"],
+    "properties": {
+        "slug": {"type": "string", "pattern": SLUG_PATTERN},
+        "name": {"type": "string", "minLength": 3, "maxLength": 256},
+        "abbreviation": {"type": "string", "minLength": 2, "maxLength": 10},
+        "supported_content_types": {"type": "array", "items": {"enum": CONTENT_TYPES}, "minItems": 1},
+        "supported_use_cases": {"type": "array", "items": {"enum": USE_CASES}, "minItems": 1},
+        "data_classification": {"type": "string", "enum": CLASSIFICATIONS, "default": DEFAULT_CLASSIFICATION},
+        "retention_days": {"type": "integer", "minimum": 0, "maximum": MAX_RETENTION_DAYS, "default": DEFAULT_RETENTION_DAYS},
+        "enabled": {"type": "boolean", "default": True},
+    },
+    "additionalProperties": False,
+}
+
 _TYPE_NAMES = {
     "string": ["STRING"],
     "integer": ["BIGINT"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexgauge.operators import contracts as c
+from lexgauge.operators import json_schema
 from lexgauge.operators import steps as st
 from lexgauge.plans.registry import query
 from lexgauge.plans.sql import with_
@@ -241,6 +242,69 @@ def _(spark, sf_dir):
     )
 
 
+def _schema_sql(doc: str, schema: dict, unknown: str) -> str:
+    """Sorted violations of a flat schema: every keyword of every member, and the one unknown member."""
+    cases = []
+    for name in schema["required"]:
+        cases.append(_rule_sql(c.Rule(name, "required"), doc))
+    for name, sub in schema["properties"].items():
+        for keyword, argument in sub.items():
+            if keyword in ("type", "pattern", "enum", "minLength", "maxLength", "minimum", "maximum", "minItems"):
+                cases.append(_rule_sql(c.Rule(name, keyword, argument), doc))
+            elif keyword == "format":
+                cases.append(_rule_sql(c.Rule(name, "pattern", c.UUID_PATTERN), doc).replace(": pattern'", ": format'"))
+    listed = f"[{', '.join(cases)}, CASE WHEN {_exists(doc, unknown)} THEN '{unknown}: not allowed' END]"
+    for name, sub in schema["properties"].items():
+        if "items" in sub:
+            items = f"CAST(json_extract({doc}, '$.{name}') AS VARCHAR[])"
+            label = f"CASE WHEN {items}[i] NOT IN {_in(sub['items']['enum'])} THEN '{name}[' || (i - 1) || ']: enum' END"
+            each = f"list_transform(range(1, len({items}) + 1), lambda i: {label})"
+            listed = f"list_concat({listed}, CASE WHEN json_type({doc}, '$.{name}') = 'ARRAY' THEN {each} ELSE [] END)"
+    return f"array_to_string(list_sort(list_filter({listed}, lambda v: v IS NOT NULL)), '; ')"
+
+
+@query(
+    "contract_schema",
+    with_(_PAYLOADS)
+    + f"""
+    SELECT doc_id, violations = '' AS accepted, violations,
+           CASE WHEN violations = '' THEN coalesce(json_extract_string(payload, '$.stage'), 'full') END AS stage
+    FROM (SELECT *, {_schema_sql('payload', c.PAYLOAD_SCHEMA, 'dry_run')} AS violations FROM payloads)""",
+)
+def _(spark, sf_dir):
+    return json_schema.apply_schema(payloads(spark, sf_dir), c.PAYLOAD_SCHEMA, "payload").select(
+        "doc_id",
+        "accepted",
+        F.array_join("violations", "; ").alias("violations"),
+        F.get_json_object("completed", "$.stage").alias("stage"),
+    )
+
+
+@query(
+    "manifest_schema",
+    with_(_MANIFESTS)
+    + f"""
+    SELECT c_custkey, violations = '' AS accepted, violations,
+           CASE WHEN violations = '' THEN coalesce(json_extract_string(manifest, '$.data_classification'), 'U') END
+               AS data_classification,
+           CASE WHEN violations = '' THEN coalesce(CAST(manifest->>'$.retention_days' AS BIGINT), 2555) END AS retention_days,
+           CASE WHEN violations = '' THEN coalesce(manifest->>'$.enabled', 'true') = 'true' END AS enabled
+    FROM (SELECT *, {_schema_sql('manifest', c.MANIFEST_SCHEMA, 'owner')} AS violations FROM manifests)""",
+)
+def _(spark, sf_dir):
+    def completed(name: str, kind: str):
+        return F.get_json_object("completed", f"$.{name}").cast(kind).alias(name)
+
+    return json_schema.apply_schema(manifests(spark, sf_dir), c.MANIFEST_SCHEMA, "manifest").select(
+        "c_custkey",
+        "accepted",
+        F.array_join("violations", "; ").alias("violations"),
+        completed("data_classification", "string"),
+        completed("retention_days", "bigint"),
+        completed("enabled", "boolean"),
+    )
+
+
 def _case(key: str, table: dict[str, list[str]]) -> str:
     whens = " ".join(f"WHEN '{name}' THEN {_list(steps)}" for name, steps in table.items())
     return f"coalesce(CASE {key} {whens} END, [])"
