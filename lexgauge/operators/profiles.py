@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexgauge.functions.checksums import bucket_digests, table_digest
 from lexgauge.functions.ordering import with_row_number_per
+from lexgauge.operators.privacy import with_row_checksum
 
 
 def event_time_series(events: DataFrame) -> DataFrame:
@@ -77,6 +79,54 @@ def archival_manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
+def package_manifest(tables: dict[str, DataFrame], package: str) -> DataFrame:
+    """Per table of a package: its place, rows, digest over all columns, columns, and a chain of the digests so far.
+
+    The chain of the last table stands for the whole package: no table can be
+    altered, left out or moved without changing it.  Tables come in the order
+    in which they are given.
+    """
+    order = {name: place for place, name in enumerate(tables, start=1)}
+    digested = archival_manifest({name: with_row_checksum(df) for name, df in tables.items()})
+    places = F.create_map(*(x for name, place in order.items() for x in (F.lit(name), F.lit(place))))
+    entry = F.struct(
+        F.element_at(places, F.col("table_name")).alias("position"),
+        "table_name",
+        "record_count",
+        "aggregate_checksum",
+        F.regexp_replace("columns", ",checksum$", "").alias("columns"),
+    )
+    # One row per table of the package.
+    gathered = digested.agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+
+    def chained(upto: Column) -> Column:
+        before = F.slice("entries", 1, upto)
+        return F.aggregate(
+            before, F.sha2(F.lit(package), 256), lambda chain, e: F.sha2(F.concat_ws("|", chain, e["table_name"], e["record_count"], e["aggregate_checksum"]), 256)
+        )
+
+    rows = F.transform("entries", lambda e, k: F.struct(F.lit(package).alias("package"), e["position"].alias("position"), e["table_name"].alias("table_name"), e["record_count"].alias("record_count"), e["aggregate_checksum"].alias("digest"), e["columns"].alias("columns"), chained(k + 1).alias("chain")))
+    return gathered.select(F.inline(rows))
+
+
+def schema_problems(tables: dict[str, DataFrame], expected: dict[str, str]) -> DataFrame:
+    """A row per column that a table lacks, has in another type or has beside the expected ones.
+
+    ``expected`` holds schemas as DDL text by table; tables without one are not looked at.
+    """
+    found = []
+    for name, df in tables.items():
+        if name not in expected:
+            continue
+        wanted = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(expected[name])}
+        has = dict(df.dtypes)
+        found += [(name, c, "missing") for c in wanted if c not in has]
+        found += [(name, c, f"{has[c]} instead of {kind}") for c, kind in wanted.items() if has.get(c, kind) != kind]
+        found += [(name, c, "unexpected") for c in has if c not in wanted]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(found, "table_name string, column_name string, problem string")
+
+
 def verify_archive(archived: DataFrame, current: DataFrame) -> DataFrame:
     """Bucket by bucket, whether a table still is what was archived."""
     then = bucket_digests(archived).select(

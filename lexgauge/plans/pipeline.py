@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime
@@ -12,11 +13,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgauge.operators import content, contracts, privacy, profiles, quality, steps
+from lexgauge.operators import classification, content, contracts, privacy, profiles, quality, steps, vectors
 from lexgauge.operators.profiles import archival_manifest
 from lexgauge.plans import marts, reports
-from lexgauge.sinks.writers import export_csv, serving_tables
+from lexgauge.sinks.publication import Publication
+from lexgauge.sinks.writers import export_csv, log_etl_run, serving_tables
 from lexgauge.sources.domain import Domain
+from lexgauge.sources.tables import SCHEMAS
 
 LEDGER = (
     "run_id string, step_number int, step string, status string, records bigint, finished_at timestamp_ntz"
@@ -30,6 +33,8 @@ class Run:
     folder: str
     as_of: date
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    run_id: str = "run"
+    started: float = field(default_factory=time.time)
 
     def table(self, name: str) -> DataFrame:
         """A content table (documents, pages, embeddings, labels, orders, events) of the caller."""
@@ -43,9 +48,13 @@ class Run:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path).count()
 
+    def destination(self) -> Publication:
+        """The serving tables; they change together, when the run's export is logged."""
+        return Publication(self.spark, f"{self.folder}/serving")
+
     def serving(self, *names: str) -> int:
-        tables = serving_tables(self.domain)
-        return sum(self.write(tables[name], name) for name in names)
+        tables, staging = serving_tables(self.domain), self.destination().stage(self.run_id)
+        return sum(staging.add(name, tables[name]) for name in names)
 
 
 def _checks(run: Run) -> int:
@@ -107,6 +116,92 @@ def _provenance(run: Run) -> int:
     return run.write(privacy.provenance(listed), "provenance")
 
 
+def _classes(run: Run) -> int:
+    docs, path = run.table("documents"), f"{run.folder}/classification_model"
+    model = classification.fit_and_write(docs, run.table("labels"), path)
+    return run.write(classification.classify(docs, model), "document_classes")
+
+
+def _vectors(run: Run) -> int:
+    """A vector of every document, the language whose centroid is nearest, and labels of given vectors."""
+    docs = run.table("documents")
+    records = run.write(vectors.text_vectors(docs), "text_vectors")
+    if "lang" in docs.columns:
+        labelled = run.spark.read.parquet(f"{run.folder}/text_vectors").join(docs.select("doc_id", "lang"), "doc_id")
+        run.write(vectors.nearest_label(labelled, vectors.label_centroids(labelled, "lang")), "text_vector_labels")
+    if "embeddings" in run.tables:
+        run.write(content.embedding_nearest(run.table("embeddings")), "embedding_labels")
+    return records
+
+
+def _transfer_vectors(run: Run) -> int:
+    """The vectors that the transform step wrote; in a run without it they are computed here."""
+    staging = run.destination().stage(run.run_id)
+    if "documents" not in run.tables:
+        return staging.add("embeddings", run.table("embeddings"))
+    try:
+        found = run.spark.read.parquet(f"{run.folder}/text_vectors")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = vectors.text_vectors(run.table("documents"))
+    return staging.add("text_vectors", found)
+
+
+def _commit_export(run: Run) -> int:
+    """Publish what the transfer steps staged and log it; a failure is logged and raised again."""
+    log, staging = f"{run.folder}/etl_log", run.destination().stage(run.run_id)
+    records = sum(row["rows"] for row in staging.staged())
+    try:
+        staging.commit()
+    except Exception as error:
+        log_etl_run(run.spark, log, "lake", records, "failed", str(error), run.started)
+        raise
+    log_etl_run(run.spark, log, "lake", records, "success", None, run.started)
+    return records
+
+
+def _labels(run: Run) -> int:
+    """Every agency with its classification label; ``manifests`` may name others than the default."""
+    agencies = run.domain.stored_agencies().withColumnRenamed("slug", "agency_id")
+    none = run.spark.createDataFrame([], "agency_id string, data_classification string")
+    labelled = privacy.in_clearance(agencies, run.tables.get("manifests", none), contracts.CLASSIFICATIONS)
+    return run.write(labelled, "classification_labels")
+
+
+def _link(run: Run) -> int:
+    """Persons of orders and events linked by tokens; their salts are the run's own, so that runs do not link."""
+    salt = f"{run.run_id}:shared"
+    left = privacy.link_tokens(run.table("orders"), "o_custkey", salt, f"{run.run_id}:orders")
+    right = privacy.link_tokens(run.table("events"), "user_id", salt, f"{run.run_id}:events")
+    return run.write(privacy.link(left, right, authorized=True), "linked_records")
+
+
+def _package(name: str, *outputs: str) -> Callable[[Run], int]:
+    """A job that writes the manifest of a package: the stored tables and what earlier steps of the run wrote."""
+
+    def job(run: Run) -> int:
+        tables = _stored(run) | {out: run.spark.read.parquet(f"{run.folder}/{out}") for out in outputs}
+        return run.write(profiles.package_manifest(tables, name), f"{name}_manifest")
+
+    return job
+
+
+def _scientific(run: Run) -> int:
+    """Problems of the given tables' columns and of the documents' values."""
+    records = run.write(profiles.schema_problems(_stored(run) | run.tables, SCHEMAS), "scientific_schema")
+    if "documents" in run.tables:
+        run.write(content.validate_documents(run.table("documents")), "scientific_values")
+    return records
+
+
+def _review(run: Run) -> int:
+    """The manifest of everything a reviewer needs: stored tables, given tables and the schema report."""
+    report = run.spark.read.parquet(f"{run.folder}/scientific_schema")
+    package = profiles.package_manifest(_stored(run) | run.tables | {"scientific_schema": report}, "peer_review")
+    return run.write(package, "peer_review_manifest")
+
+
 def _schema(run: Run) -> int:
     expected = dict(run.table("documents").dtypes) | {"doc_id": "bigint", "text": "string"}
     manifest = content.dataset_manifest(run.table("documents"), expected)
@@ -142,8 +237,11 @@ JOBS: dict[str, Callable[[Run], int]] = {
     "detect_language": _content("documents", content.stop_word_language, "languages"),
     "extract_named_entities": _content("documents", content.entities, "entities"),
     "run_sentiment_analysis": _content("documents", content.sentiment, "sentiment"),
-    "compute_text_embeddings": _content("embeddings", content.embedding_nearest, "embedding_labels"),
-    "transfer_embeddings": _content("embeddings", content.embedding_centroids, "embedding_centroids"),
+    "run_document_classification": _classes,
+    "compute_text_embeddings": _vectors,
+    "clear_destination": lambda run: run.destination().stage(run.run_id).clear(),
+    "transfer_embeddings": _transfer_vectors,
+    "log_etl_run": _commit_export,
     "split_train_val_test": _content("documents", content.dataset_split, "dataset_split"),
     "export_dataset_manifest": _manifest,
     "validate_dataset_schema": _schema,
@@ -153,6 +251,12 @@ JOBS: dict[str, Callable[[Run], int]] = {
     "build_timeline_index": _content(
         "events", lambda df: profiles.timeline(df, "user_id", "ts", "event_id"), "timeline"
     ),
+    "apply_classification_labels": _labels,
+    "link_cross_agency_records": _link,
+    "export_cultural_heritage_manifest": _package("cultural_heritage", "linked_records"),
+    "export_historical_record_manifest": _package("historical_record", "timeline"),
+    "validate_scientific_schema": _scientific,
+    "export_peer_review_package": _review,
     "compute_record_metrics": _metrics,
     "compute_time_series": lambda run: run.write(
         marts.time_series_monthly(run.domain.corrections), "time_series"
@@ -225,7 +329,7 @@ def run_pipeline(
         raise ValueError("steps without a job: " + ", ".join(missing))
     ledger = f"{folder}/_ledger"
     done = finished_steps(spark, ledger, run_id) if resume else set()
-    run, outcome = Run(spark, domain, folder, as_of, tables or {}), []
+    run, outcome = Run(spark, domain, folder, as_of, tables or {}, run_id), []
 
     def log(number: int, step: str, status: str, records: int) -> None:
         outcome.append((step, status, records))

@@ -154,8 +154,7 @@ def top_rvi_lake(domain: Domain, limit: int = 20) -> DataFrame:
 
 
 def _top(domain: Domain, measure: str, limit: int, cap: int | None) -> DataFrame:
-    if cap is not None and limit > cap:
-        raise ValueError(f"limit {limit} is over the view's cap of {cap}; pass cap=None to lift it")
+    limit = limit if cap is None else min(limit, cap)
     return (
         marts.serving_metrics(domain)
         .filter(F.col(measure) > 0)
@@ -173,12 +172,12 @@ def _top(domain: Domain, measure: str, limit: int, cap: int | None) -> DataFrame
 
 
 def top_by_corrections(domain: Domain, limit: int = 20, cap: int | None = VIEW_CAP) -> DataFrame:
-    """Most corrected agencies; a limit over the view's cap is refused, ``cap=None`` lifts it."""
+    """Most corrected agencies: the first min(limit, cap), as the view ends there; ``cap=None`` has no end."""
     return _top(domain, "total_corrections", limit, cap)
 
 
 def top_by_rvi(domain: Domain, limit: int = 20, cap: int | None = VIEW_CAP) -> DataFrame:
-    """Highest index; a limit over the view's cap is refused, ``cap=None`` lifts it."""
+    """Highest index: the first min(limit, cap), as the view ends there; ``cap=None`` has no end."""
     return _top(domain, "rvi", limit, cap)
 
 

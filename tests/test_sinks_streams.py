@@ -96,9 +96,7 @@ def test_pipeline_runs_every_job(spark, domain, sf_dir, tmp_path, use_case):
     payload = {"agency": "nasa", "content_type": "text", "use_case": use_case, "stage": "transform"}
     names = ("documents", "embeddings", "events", "orders")
     tables = {n: read_table(spark, sf_dir, n) for n in names}
-    done = pipeline.run_pipeline(
-        spark, payload, domain, str(tmp_path), "r1", date(2024, 1, 1), tables=tables, allow_missing=True
-    )
+    done = pipeline.run_pipeline(spark, payload, domain, str(tmp_path), "r1", date(2024, 1, 1), tables=tables)
     counts = {step: records for step, state, records in done if state == "done"}
     assert counts["run_sentiment_analysis"] == tables["documents"].count()
     wanted = {

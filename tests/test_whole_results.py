@@ -57,9 +57,15 @@ def test_lists_without_a_limit_keep_order_and_offset(spark):
     assert reports.recent_corrections(df, limit=2).count() == 2
 
 
-def test_a_limit_over_the_cap_is_refused(spark):
-    with pytest.raises(ValueError, match="cap"):
-        reports.top_by_rvi(None, limit=75)
+def test_top_lists_end_at_the_cap(spark, sf_dir, monkeypatch):
+    many = spark.range(90).selectExpr(
+        "concat('a', id) AS slug", "'n' AS name", "'s' AS short_name", "id + 1 AS total_corrections", "id / 3 AS rvi",
+        "id AS cfr_reference_count",
+    )
+    monkeypatch.setattr(reports.marts, "serving_metrics", lambda domain: many)
+    assert [reports.top_by_corrections(None, n).count() for n in (20, 50, 75)] == [20, 50, 50]
+    assert reports.top_by_rvi(None, limit=75).count() == 50
+    assert reports.top_by_rvi(None, limit=75, cap=None).count() == 75
 
 
 def test_searches_may_have_no_limit(spark):
