@@ -7,6 +7,8 @@ and no dictionary travels.  The fitted weights of the buckets are one array of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from lexgauge.session import materialize
 
 #: Buckets of the vectors' space; a fitted model holds so many weights.
 DIMS = 1 << 18
+#: Labels that vectors are held against at a time.
+LABELS = 8
 
 
 def bucket_of(term: Column, dims: int = DIMS) -> Column:
@@ -95,24 +99,52 @@ def label_centroids(vectors: DataFrame, label: str) -> DataFrame:
     return sums.join(sizes, "label").select("label", "bucket", F.round(F.col("sum") / F.col("vectors"), 9).alias("mean"), "vectors")
 
 
-def nearest_label(vectors: DataFrame, centroids: DataFrame, key: str = "doc_id") -> DataFrame:
+def _directions(centroids: DataFrame, labels: list, dims: int) -> list[Column]:
+    """Each label's mean direction at length one as one value of ``dims`` numbers; NULL where the label has no such bucket."""
+    every = centroids.sparkSession.range(dims).select(F.col("id").cast("int").alias("bucket"))
+    found = []
+    for label in labels:
+        own = centroids.where(F.col("label") == F.lit(label)).select("bucket", "mean")
+        length = own.agg(F.sqrt(F.sum(F.col("mean") * F.col("mean")))).scalar()
+        entry = F.struct("bucket", (F.col("mean") / length).alias("c"))
+        found.append(every.join(own, "bucket", "left").agg(F.sort_array(F.collect_list(entry))["c"].alias("c")).scalar())
+    return found
+
+
+def _better(best: Column, cosine: Column, label: str, kind: str) -> Column:
+    """The better of the best so far and one more label, which comes later in order."""
+    own = F.struct(cosine.alias("cosine"), F.lit(label).cast(kind).alias("label"))
+    return F.when(cosine.isNull(), best).when(best.isNull() | (cosine > best["cosine"]), own).otherwise(best)
+
+
+def _products(direction: str) -> Callable[[Column], Column]:
+    return lambda t: t["weight"] / F.col("norm") * F.get(F.col(direction), t["bucket"])
+
+
+def nearest_label(vectors: DataFrame, centroids: DataFrame, dims: int = DIMS, key: str = "doc_id") -> DataFrame:
     """Per vector the label of smallest angle and the cosine; ties go to the smaller label.
 
-    The centroids are packed by bucket, so a vector's bucket meets one row,
-    whose entries add up per vector and label before they are shuffled.
-    Vectors without length have neither label nor cosine.  ``key`` must be unique.
+    ``LABELS`` labels at a time are held against every vector, each as one value
+    of ``dims`` numbers that the vector's buckets are looked up in, so no vector
+    is shuffled and what a task receives does not grow with the corpus.  The
+    names of the labels pass through the driver.  Vectors that share no bucket
+    with any label, or have no length, have neither label nor cosine.
     """
     centroids = materialize(centroids)
-    lengths = centroids.groupBy("label").agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("length"))
-    packed = materialize(
-        centroids.join(lengths, "label")
-        .where("length > 0")
-        .groupBy("bucket")
-        .agg(F.collect_list(F.struct("label", (F.col("mean") / F.col("length")).alias("c"))).alias("entries"))
-    )
-    met = _parts(vectors, key).join(packed, "bucket").select(key, "w", F.explode("entries").alias("e"))
-    cosines = met.groupBy(key, "e.label").agg(F.round(F.sum(F.col("w") * F.col("e.c")), 6).alias("cosine"))
-    best = cosines.groupBy(key).agg(F.min(F.struct((-F.col("cosine")).alias("order"), "label", "cosine")).alias("best"))
-    return vectors.select(key).join(best, key, "left").select(
-        key, F.col("best.label").alias("nearest"), F.col("best.cosine").alias("cosine")
-    )
+    kind = dict(centroids.dtypes)["label"]
+    names = sorted(r["label"] for r in centroids.groupBy("label").agg(F.sum(F.col("mean") * F.col("mean")).alias("s")).where("s > 0").collect())
+    none = F.lit(None).cast(f"struct<cosine: double, label: {kind}>")
+    rows = vectors.select(key, "terms", "norm", none.alias("best"))
+    for begin in range(0, len(names), LABELS):
+        block = names[begin : begin + LABELS]
+        columns = [f"_c{k}" for k in range(len(block))]
+        rows = rows.select("*", *(c.alias(n) for c, n in zip(_directions(centroids, block, dims), columns)))
+        for label, column in zip(block, columns):
+            met = F.transform("terms", _products(column))
+            total = F.aggregate(met, F.lit(None).cast("double"), lambda sum_, x: F.coalesce(sum_ + x, sum_, x))
+            rows = rows.withColumn("_cosine", F.when(F.col("norm") > 0, F.round(total, 6)))
+            rows = rows.withColumn("best", _better(F.col("best"), F.col("_cosine"), label, kind)).drop("_cosine")
+        rows = rows.drop(*columns)
+        if begin + LABELS < len(names):
+            rows = materialize(rows)
+    return rows.select(key, F.col("best.label").alias("nearest"), F.col("best.cosine").alias("cosine"))

@@ -54,13 +54,15 @@ def test_nothing_to_fit(spark):
     assert vectors.text_vectors(empty, 16).count() == 0
 
 
-def test_nearest_label_by_plain_angles(spark):
+@pytest.mark.parametrize("block", [8, 1])
+def test_nearest_label_by_plain_angles(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "LABELS", block)
     rows = [(k, t) for k, t in enumerate(["red fox", "red hen red", "blue sky", "blue sea sky", "sea", "green", "", "red sky"])]
     labels = {0: "warm", 1: "warm", 2: "cold", 3: "cold", 4: "cold", 6: "warm"}
     table = spark.createDataFrame([(k, t, labels.get(k)) for k, t in rows], DOCS + ", label string")
     found = vectors.text_vectors(table, 1 << 12).join(table.select("doc_id", "label"), "doc_id")
     centroids = vectors.label_centroids(found, "label")
-    best = {r["doc_id"]: r for r in vectors.nearest_label(found, centroids).collect()}
+    best = {r["doc_id"]: r for r in vectors.nearest_label(found, centroids, 1 << 12).collect()}
     unit = {}
     for doc_id, terms in slow_vectors(rows, 1 << 12):
         norm = math.sqrt(sum(w * w for _, _, w in terms))
