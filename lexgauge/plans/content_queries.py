@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lexgauge.operators import classification, content, vectors
+from lexgauge.operators import classification, content, pii, vectors
 from lexgauge.plans.registry import query
 from lexgauge.session import checkpoint_root, materialize
 from lexgauge.sources.tables import read_table
@@ -161,6 +161,47 @@ def _(spark, sf_dir):
     return content.scan_pii(_docs(spark, sf_dir))
 
 
+_KEY = "a key for the queries"
+
+
+def _hmac_sql(message: str) -> str:
+    secret = _KEY.encode().ljust(64, b"\0")
+    inner, outer = ("".join(f"{b ^ pad:02x}" for b in secret) for pad in (0x36, 0x5C))
+    return f"substr(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message})))), 1, 16)"
+
+
+_DIGITS = "list_transform(range(1, length(v) + 1), lambda k: CAST(v[length(v) + 1 - k] AS INTEGER) * (CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END))"
+_MOVED = "(substr(v, 5) || substr(v, 1, 4))"
+_STEPS = f"list_concat([CAST(0 AS BIGINT)], list_transform(range(1, length(v) + 1), lambda k: CAST(ascii({_MOVED}[k]) AS BIGINT)))"
+_PROOFS = {
+    "email": "true",
+    "card": f"list_sum(list_transform({_DIGITS}, lambda d: CASE WHEN d > 9 THEN d - 9 ELSE d END)) % 10 = 0",
+    "iban": f"list_reduce({_STEPS}, lambda r, c: CASE WHEN c >= 65 THEN r * 100 + c - 55 ELSE r * 10 + c - 48 END % 97) = 1",
+    "ssn": "CAST(substr(v, 1, 3) AS INTEGER) BETWEEN 1 AND 899 AND substr(v, 1, 3) <> '666' AND substr(v, 5, 2) <> '00' AND substr(v, 8) <> '0000'",
+    "ip": "len(list_filter(string_split(v, '.'), lambda o: length(o) > 3 OR CAST(o AS BIGINT) > 255 OR o <> '0' AND o[1] = '0')) = 0",
+}
+
+
+def _pii_sql() -> str:
+    parts = []
+    for kind in pii.KINDS:
+        bare = "rtrim(raw, '.-')" if kind.name == "email" else f"translate(raw, '{kind.strip}', '')" if kind.strip else "raw"
+        parts.append(
+            f"SELECT doc_id, '{kind.name}' AS kind, v FROM (SELECT doc_id, {bare} AS v FROM "
+            f"(SELECT doc_id, unnest(regexp_extract_all({_TEXT}, '{kind.run}')) AS raw FROM documents)) "
+            f"WHERE CASE WHEN regexp_matches(v, '{kind.form}') THEN {_PROOFS[kind.name]} ELSE false END"
+        )
+    return (
+        f"SELECT doc_id, kind, {_hmac_sql("kind || ':' || v")} AS pseudonym, count(*) AS n FROM ({' UNION ALL '.join(parts)}) "
+        "GROUP BY ALL"
+    )
+
+
+@query("pii_findings", _pii_sql())
+def _(spark, sf_dir):
+    return pii.find(_docs(spark, sf_dir), _KEY)
+
+
 _SPLIT = """
     split_rows AS (
         SELECT *, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS point FROM documents),
