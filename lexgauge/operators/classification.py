@@ -7,7 +7,7 @@ documents but for the fold that is held out.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgauge.operators.content import terms_of
+from lexgauge.session import materialize
 
 #: Buckets of the hashed words: the model has one coefficient for each, whatever the corpus.
 FEATURES = 1 << 16
@@ -38,15 +39,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", features: in
 
     Neither source, language nor doc_id is an input of the model.
     """
-    rows = docs.where(~held_out(docs["doc_id"])).select(docs["doc_id"], terms_of(docs["text"]).alias("terms"))
-    rows = rows.join(known_labels(labels, label), "doc_id").select("terms", "label")
-    stages = [
-        HashingTF(inputCol="terms", outputCol="counts", numFeatures=features),
-        # A word of a single document tells nothing of others.
-        IDF(inputCol="counts", outputCol="features", minDocFreq=2),
-        LogisticRegression(maxIter=30, regParam=0.02, aggregationDepth=3),
-    ]
-    return Pipeline(stages=stages).fit(rows)
+    known = materialize(known_labels(labels, label).where(~held_out(F.col("doc_id"))))
+    rows = docs.select(docs["doc_id"], docs["text"]).join(known, "doc_id").select(terms_of(F.col("text")).alias("terms"), "label")
+    hashing = HashingTF(inputCol="terms", outputCol="counts", numFeatures=features)
+    # Written, as both fits pass over these rows, the second one many times.
+    counted = materialize(hashing.transform(rows).select("counts", "label"))
+    # A word of a single document tells nothing of others.
+    rarity = IDF(inputCol="counts", outputCol="features", minDocFreq=2).fit(counted)
+    regression = LogisticRegression(maxIter=30, regParam=0.02, aggregationDepth=3)
+    return PipelineModel([hashing, rarity, regression.fit(rarity.transform(counted))])
 
 
 def classify(docs: DataFrame, model: PipelineModel) -> DataFrame:
