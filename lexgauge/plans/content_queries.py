@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lexgauge.operators import classification, content, pii, vectors
+from lexgauge.operators import classification, content, pii, sentiment, vectors
 from lexgauge.plans.registry import query
 from lexgauge.session import checkpoint_root, materialize
 from lexgauge.sources.tables import read_table
@@ -335,3 +335,43 @@ def _(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     found = materialize(vectors.text_vectors(docs).join(docs.select("doc_id", "lang"), "doc_id"))
     return vectors.nearest_label(found, vectors.label_centroids(found, "lang"))
+
+
+_WEIGHTS = f"""
+    {_SPLIT.strip()},
+    votes AS (
+        SELECT doc_id, CASE WHEN avg(quality) >= 0.5 THEN 1 ELSE 0 END AS label
+        FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+    words AS (
+        SELECT label, unnest({_WORDS.format(f"lower({_TEXT})")}) AS word
+        FROM placed JOIN votes USING (doc_id) WHERE split = 'train'),
+    counted AS (
+        SELECT word, count(*) FILTER (label = 1) AS n_1, count(*) FILTER (label = 0) AS n_0 FROM words GROUP BY word),
+    totals AS (
+        SELECT *, sum(n_1) OVER () AS all_1, sum(n_0) OVER () AS all_0,
+               {sentiment.PRIOR} * (n_1 + n_0) / (sum(n_1) OVER () + sum(n_0) OVER ()) AS a FROM counted),
+    odds AS (
+        SELECT *, ln((n_1 + a) / (all_1 + {sentiment.PRIOR} - n_1 - a)) - ln((n_0 + a) / (all_0 + {sentiment.PRIOR} - n_0 - a)) AS w
+        FROM totals),
+    weights AS (
+        SELECT word, n_1, n_0, round(w, 6) AS weight, round(w / sqrt(1 / (n_1 + a) + 1 / (n_0 + a)), 6) AS z FROM odds)"""
+
+
+@query("sentiment_weights", f"WITH {_WEIGHTS} FROM weights")
+def _(spark, sf_dir):
+    return sentiment.word_weights(_docs(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+@query(
+    "doc_sentiment_learned",
+    f"""
+    WITH {_WEIGHTS},
+    met AS (
+        SELECT doc_id, count(*) AS hits, round(avg(weight), 6) AS score
+        FROM (SELECT doc_id, unnest({_WORDS.format(f"lower({_TEXT})")}) AS word FROM documents)
+        JOIN (FROM weights WHERE abs(z) >= {sentiment.SURE}) USING (word) GROUP BY doc_id)
+    SELECT doc_id, coalesce(hits, 0) AS hits, coalesce(score, 0) AS score FROM documents LEFT JOIN met USING (doc_id)""",
+)
+def _(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return sentiment.score(docs, sentiment.word_weights(docs, read_table(spark, sf_dir, "labels")))

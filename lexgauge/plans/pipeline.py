@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgauge.operators import classification, content, contracts, privacy, profiles, quality, steps, vectors
+from lexgauge.operators import classification, content, contracts, privacy, profiles, quality, sentiment, steps, vectors
 from lexgauge.operators.profiles import archival_manifest
 from lexgauge.plans import marts, reports
 from lexgauge.sinks.publication import Publication
@@ -116,6 +116,15 @@ def _provenance(run: Run) -> int:
     return run.write(privacy.provenance(listed), "provenance")
 
 
+def _sentiment(run: Run) -> int:
+    """By words weighed from the caller's labels; by the short word list where there are none."""
+    docs = run.table("documents")
+    if "labels" not in run.tables:
+        return run.write(content.sentiment(docs), "sentiment")
+    run.write(sentiment.word_weights(docs, run.table("labels")), "sentiment_weights")
+    return run.write(sentiment.score(docs, run.spark.read.parquet(f"{run.folder}/sentiment_weights")), "sentiment")
+
+
 def _classes(run: Run) -> int:
     docs, path = run.table("documents"), f"{run.folder}/classification_model"
     model = classification.fit_and_write(docs, run.table("labels"), path)
@@ -236,7 +245,7 @@ JOBS: dict[str, Callable[[Run], int]] = {
     "tokenise_text": _content("documents", content.term_counts, "terms"),
     "detect_language": _content("documents", content.stop_word_language, "languages"),
     "extract_named_entities": _content("documents", content.entities, "entities"),
-    "run_sentiment_analysis": _content("documents", content.sentiment, "sentiment"),
+    "run_sentiment_analysis": _sentiment,
     "run_document_classification": _classes,
     "compute_text_embeddings": _vectors,
     "clear_destination": lambda run: run.destination().stage(run.run_id).clear(),
