@@ -61,8 +61,10 @@ def score(docs: DataFrame, weights: DataFrame, sure: float = SURE) -> DataFrame:
     rows that repeat one get the sum of both.
     """
     chosen = materialize(weights.where(F.abs("z") >= sure).select("word", "weight"))
-    hits = _words(docs, "doc_id").join(chosen, "word").groupBy("doc_id").agg(F.count("*").alias("hits"), F.avg("weight").alias("mean"))
+    # Weights have six places: their sum is exact, whatever the order.
+    exact = F.sum(F.col("weight").cast("decimal(18,6)")).cast("double")
+    hits = _words(docs, "doc_id").join(chosen, "word").groupBy("doc_id").agg(F.count("*").alias("hits"), (exact / F.count("*")).alias("mean"))
     found = hits.withColumnRenamed("doc_id", "_id")
     return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")), "left").select(
-        docs["doc_id"], F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce(F.round("mean", 6), F.lit(0.0)).alias("score")
+        docs["doc_id"], F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("mean", F.lit(0.0)).alias("score")
     )

@@ -367,7 +367,7 @@ def _(spark, sf_dir):
     f"""
     WITH {_WEIGHTS},
     met AS (
-        SELECT doc_id, count(*) AS hits, round(avg(weight), 6) AS score
+        SELECT doc_id, count(*) AS hits, CAST(sum(CAST(weight AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS score
         FROM (SELECT doc_id, unnest({_WORDS.format(f"lower({_TEXT})")}) AS word FROM documents)
         JOIN (FROM weights WHERE abs(z) >= {sentiment.SURE}) USING (word) GROUP BY doc_id)
     SELECT doc_id, coalesce(hits, 0) AS hits, coalesce(score, 0) AS score FROM documents LEFT JOIN met USING (doc_id)""",
