@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgauge.llm.common import whole_groups
@@ -68,7 +68,7 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long, over whole texts with A-Z lower-cased."""
+    """(doc_id, mark, fp): a hash of the text, and the 64 bits as a signed long, over whole texts with A-Z lower-cased."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -82,10 +82,16 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                 batch.num_rows,
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "fp"]
+                [batch.column("doc_id").cast(pa.int64()), batch.column("mark"), pa.array(prints.view(np.int64))],
+                ["doc_id", "mark", "fp"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", _mark(docs).alias("mark")).mapInArrow(run, "doc_id bigint, mark bigint, fp bigint")
+
+
+def _mark(docs: DataFrame) -> Column:
+    """Tells unlike texts under one doc_id, or without one, apart."""
+    return F.xxhash64(docs["text"].isNull(), docs["text"])
 
 
 def distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -308,16 +314,37 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, count: int =
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group, with their columns as they are.
+    """One row of ``docs`` per group of near-duplicates, with its columns as they are.
+
+    The smallest doc_id stays, of several texts under it the one whose hash is
+    smallest; rows without doc_id come last.  Unlike texts under one doc_id are
+    rows of their own, and of rows equal in doc_id and text one stays.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id cannot be
-    told apart and all stay.
+    The rows to drop are far fewer than those to keep, so texts meet the list
+    of dropped ids only; texts of ids that are repeated, or missing, are looked
+    at once more, by their hash.
     """
-    groups = near_groups(docs, shingle, radius)
-    chosen = materialize(
-        groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    prints = materialize(fingerprints(docs, shingle))
+    nodes = materialize(prints.select("fp").distinct())
+    tied = materialize(connected_components(links(nodes, radius)))
+    rooted = materialize(
+        nodes.join(tied, nodes["fp"] == tied["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    )
+    rows = materialize(prints.join(rooted, "fp").select("doc_id", "mark", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    first = materialize(rows.groupBy("root").agg(F.min(order).alias("first")))
+    judged = materialize(rows.join(first, "root").select("doc_id", "mark", order.eqNullSafe(F.col("first")).alias("stays")))
+    counted = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("stays").alias("stay"))
+    # Ids of which no row stays, and repeated ones of which some do.
+    listed = materialize(counted.where("stay = 0 OR n > 1").select("doc_id", (F.col("stay") > 0).alias("some")))
+    kept = docs.where("doc_id IS NOT NULL").join(listed.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(
+        judged.where("stays").join(listed.where("some").select("doc_id").withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+        .where("doc_id IS NULL OR _id IS NOT NULL").groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
     )
-    kept = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if chosen.where("copies > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id IS NULL"))
+    if not repeated.limit(1).count():
+        return kept
+    chosen = repeated.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    marked = docs.select(docs["doc_id"].alias("id"), _mark(docs).alias("mark"), F.struct(*docs.columns).alias("row"))
+    again = marked.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
+    return kept.union(again.groupBy("id", "mark").agg(F.any_value("row").alias("row")).select("row.*"))

@@ -90,7 +90,31 @@ def test_representatives(spark):
     rows = [r for r in plain.odd_documents() if r[0] is not None]
     names = named([plain.fingerprint(r[1]) for r in rows], [r[0] for r in rows])
     assert ids == sorted({r[0] for r, n in zip(rows, names) if r[0] == n})
-    assert kept.where("doc_id IS NULL").count() == 2
+    # The row with neither doc_id nor text is a copy of others without words.
+    assert [r["text"] for r in kept.where("doc_id IS NULL").collect()] == [plain.prose(4, 80)]
+
+
+def test_representatives_of_repeated_and_missing_ids(spark):
+    a, b, c, d = (plain.prose(seed, 90) for seed in (60, 61, 62, 63))
+    rows = [
+        (5, a), (5, b), (5, b),  # unlike texts under one id, one of them twice
+        (6, c), (None, c), (None, c),  # copies without an id go
+        (None, d), (None, d),  # one of them stays
+        (7, a), (8, b),  # copies of texts whose first id is repeated
+        (9, None), (9, ""), (None, " "),
+    ]
+    docs = plain.documents(spark, [(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(rows)]).repartition(4)
+    kept = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in simhash.keep_representatives(docs).collect()), key=str)
+    empty = [k for k in kept if k[1] == 9]
+    assert len(empty) == 1
+    assert [k for k in kept if k[1] != 9] == sorted([(False, 5, a), (False, 5, b), (False, 6, c), (True, 0, d)], key=str)
+
+
+def test_one_id_holds_a_third_of_all_rows(spark):
+    rows = [(1 if k % 3 == 0 else k, plain.prose(k % 200, 60)) for k in range(600)]
+    docs = plain.documents(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    kept = simhash.keep_representatives(docs).collect()
+    assert sorted(r["text"] for r in kept) == sorted({t for _, t in rows})
 
 
 def test_empty(spark):
