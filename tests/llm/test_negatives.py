@@ -88,7 +88,8 @@ def test_ties_go_to_smaller_ids(spark):
     rows = [(k, [1.0, 1.0], 0) for k in range(8)] + [(100 + k, [0.5, 0.5], 1) for k in range(0, 60, 3)]
     found = mined(spark, rows)
     assert found == slow(rows)
-    assert [r[3] for r in found if r[:2] == (0, 1)] == [100 + 3 * k for k in range(10)]
+    ranked = sorted(found, key=lambda r: r[:3])
+    assert [r[3] for r in ranked if r[:2] == (0, 1)] == [100 + 3 * k for k in range(10)]
 
 
 def test_products_beyond_doubles_and_longs(spark):

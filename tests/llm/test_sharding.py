@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import pytest
@@ -39,3 +40,26 @@ def test_every_shard_has_the_mixture(spark):
 
 def test_empty(spark):
     assert interleave(plain.documents(spark, [])).count() == 0
+
+
+def slow_sequence(rows, seed):
+    """All rows in the order of the sequence, by plain sorting."""
+    keyed = []
+    for doc_id, text, _, source, *_ in rows:
+        crc = plain.crc(text)
+        chance = int(hashlib.md5(f"{seed}|{'' if doc_id is None else doc_id}|{crc}".encode()).hexdigest()[:13], 16) / 16**13
+        keyed.append((source or "", (chance, doc_id is not None, doc_id or 0, crc)))
+    sizes, seen, placed = Counter(s for s, _ in keyed), Counter(), []
+    for source, tie in sorted(keyed):
+        placed.append(((seen[source] + 0.5) / sizes[source], tie, source))
+        seen[source] += 1
+    return [(tie[2] if tie[1] else None, tie[3]) for _, tie, source in sorted(placed)]
+
+
+@pytest.mark.parametrize("shards", [3, 8])
+def test_equal_to_plain_sorting(spark, shards):
+    rows = [(i, f"t{i % 50}", "en", None if i % 7 == 0 else "hot" if i % 3 == 0 else f"s{i % 5}", 1) for i in range(500)]
+    rows += [(None, f"n{i}", "en", "s1", 1) for i in range(20)] + [(3, "other", "en", "hot", 1), (900, None, "en", "s2", 1)]
+    found = sorted(interleave(plain.documents(spark, rows), shards, seed=5).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert [(r["doc_id"], r["text_crc32"]) for r in found] == slow_sequence(rows, 5)
+    assert [r["position"] for r in found] == list(range(len(rows)))
