@@ -40,10 +40,19 @@ DOCUMENT_BITS = 16
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """For every 16-bit unit: is it a letter (the halves of letters beyond 16 bits count as letters)."""
-    table = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
-    table[0xD800:0xE000] = True
-    return table
+    """For every 16-bit unit: is it a letter (halves of characters beyond 16 bits are none by themselves)."""
+    return np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
+
+
+def _with_pairs(units: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """``letter`` with both halves of every letter beyond 16 bits."""
+    first = np.flatnonzero((units[:-1] & 0xFC00 == 0xD800) & (units[1:] & 0xFC00 == 0xDC00))
+    if len(first):
+        points = 0x10000 + ((units[first].astype(np.int64) & 0x3FF) << 10) + (units[first + 1].astype(np.int64) & 0x3FF)
+        kinds, place = np.unique(points, return_inverse=True)
+        real = np.array([chr(c).isalpha() for c in kinds.tolist()])[place.reshape(-1)]
+        letter[first], letter[first + 1] = real, real
+    return letter
 
 
 def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +61,7 @@ def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     units = np.concatenate([np.zeros(1, "<u2"), *raw])
     owner = np.repeat(np.arange(len(texts)), [len(r) for r in raw])
     owner = np.concatenate(([0], owner))
-    letter = _letters()[units]
+    letter = _with_pairs(units, _letters()[units])
     # The last unit of each text is a space, so words of two texts never meet.
     keep = letter | np.concatenate(([True], letter[:-1]))
     return np.where(letter, units, 0)[keep].astype(np.uint64), owner[keep]

@@ -27,6 +27,14 @@ def test_gram_counts_match_a_plain_count():
         assert got == dict(expected)
 
 
+def test_letters_beyond_16_bits():
+    units, owner = langid._units(["a😀b", "\U00010428", "😀"])
+    letters = "\U00010428".encode("utf-16-le")
+    pair = [letters[0] | letters[1] << 8, letters[2] | letters[3] << 8]
+    assert units.tolist() == [0, ord("a"), 0, ord("b"), 0, *pair, 0]
+    assert owner.tolist() == [0, 0, 0, 0, 0, 1, 1, 1]
+
+
 def test_out_of_place_distance():
     texts = ["aaab aab", "ba"]
     owner, codes, counts = langid.gram_counts(texts)
@@ -39,9 +47,11 @@ def test_out_of_place_distance():
 
 def test_language_of_odd_documents(spark):
     rows = plain.odd_documents() + [(200 + i, f"the of and is {plain.prose(i, 30)}", "en", "a", 1) for i in range(20)]
+    rows += [(300, "😀😀 👍 12 !", "en", "a", 1), (301, "\U00010400\U00010401", "en", "a", 1), (302, "\u4e2d\u6587", "en", "a", 1)]
     docs = plain.clashing(plain.documents(spark, rows))
     got = langid.identify(docs).collect()
     assert len(got) == len(rows)
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in got if (r["doc_id"] or 0) >= 300} == {300: True, 301: False, 302: False}
     by_id = {r["doc_id"]: r for r in got}
     assert by_id[3]["lang_pred"] == by_id[4]["lang_pred"] == by_id[5]["lang_pred"] == "und"
     assert all(0 <= r["score"] <= 1 for r in got)
