@@ -28,13 +28,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexgauge.llm.pieces import Encoder
+from lexgauge.session import materialize
+
 #: Ids of a block.
 BLOCK = 1024
 #: Ids after which a file row is closed; a document is never cut.
@@ -159,81 +161,10 @@ def decode(words: np.ndarray, n_ids: int, block_words: np.ndarray) -> np.ndarray
     return ids
 
 
-class WordCache:
-    """Ids of the pieces of a text, encoded once per worker and then looked up.
-
-    For a tokenizer that drops white space and never merges across it, the ids
-    of a text are those of its pieces between white space in order.  Where a
-    text is in normal form and has no apostrophe, it is lower-cased and cut
-    between letters and other characters as well, as the tokenizer does.  When
-    the cache is full it becomes the old one, from which only pieces that come
-    again are taken over, so memory is bounded and frequent pieces stay.
-    """
-
-    #: Unicode white space, which such a tokenizer treats as one separator (fixed values).
-    SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    #: Stands between the pieces that are encoded together; it is a token of its own.
-    BREAK = "\0"
-
-    def __init__(self, path: str, most: int = 400_000) -> None:
-        import re
-
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        # Control strings inside a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
-        self.split = re.compile(f"[{self.SPACE}]+").split
-        self.cut = re.compile(rf"[^\W\d_]+|(?:[^\w{self.SPACE}]|[\d_])+").findall
-        # Text in ASCII needs no look at character classes.
-        self.cut_ascii = re.compile(r"[a-z]+|[\0-\x08\x0e-\x1f!-`{-\x7f]+").findall
-        self.most = most
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        (self.mark,) = self.tokenizer.encode(self.BREAK, add_special_tokens=False).ids
-
-    def pieces(self, text: str) -> list[str]:
-        lowered = text.lower()
-        if text.isascii() and "'" not in text:
-            return self.cut_ascii(lowered)
-        # A capital sigma is lowered by its place in the word, and not so by the tokenizer.
-        if "'" in text or "\u03a3" in text or not (is_normalized("NFC", text) and is_normalized("NFC", lowered)):
-            return self.split(text)
-        return self.cut(lowered)
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces many at a time and cut the ids at the breaks."""
-        together = [p for p in new if self.BREAK not in p]
-        for begin in range(0, len(together), 512):
-            part = together[begin : begin + 512]
-            coded = self.tokenizer.encode(f" {self.BREAK} ".join(part), add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            begin_at = 0
-            for piece, end in zip(part, ends, strict=True):
-                self.known[piece] = ids[begin_at:end].tobytes()
-                begin_at = end + 1
-        for piece in new:
-            if self.BREAK in piece:
-                coded = self.tokenizer.encode(piece, add_special_tokens=False)
-                self.known[piece] = np.array(coded.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Unsigned 32-bit ids of each text."""
-        if len(self.known) > self.most:
-            self.old, self.known = self.known, {}
-        cut = [self.pieces(text) for text in texts]
-        fresh = set().union(*cut).difference(self.known)
-        again = fresh.intersection(self.old)
-        self.known.update((piece, self.old[piece]) for piece in again)
-        self._learn(sorted(fresh - again))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4") for pieces in cut]
-
-
 @lru_cache(1)
-def _word_cache(path: str) -> WordCache:
-    """The worker's cache; it outlives a task."""
-    return WordCache(path)
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder; it outlives a task."""
+    return Encoder(path)
 
 
 def _pieces(texts: Iterator[str | None], characters: int = 1 << 20) -> Iterator[list[str]]:
@@ -255,7 +186,7 @@ def _pack(tokenizer: str, end_id: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        cache = _word_cache(tokenizer)
+        encoder = _encoder(tokenizer)
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
         ids, before, row = 0, 0, 0
@@ -278,7 +209,7 @@ def _pack(tokenizer: str, end_id: int):
         for batch in stream:
             names = iter(batch.column("doc_id").to_pylist())
             for texts in _pieces(text.as_py() for text in batch.column("text")):
-                for coded in cache.encode(texts):
+                for coded in encoder.encode(texts):
                     doc_ids.append(next(names))
                     held.append(np.append(coded, np.uint32(end_id)))
                     ids += len(coded) + 1
@@ -336,7 +267,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema(SCHEMA).parquet(path)
     sizes = stored.groupBy("shard").agg(F.sum("n_ids").alias("size"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    # Written, as the planner would otherwise not know how few rows these are and move the words.
+    offsets = materialize(sizes.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")))
     placed = stored.join(offsets, "shard").select(
         "doc_ids", "n_tokens", "n_ids", "words", "block_words", (F.col("offset") + F.col("before")).alias("start")
     )

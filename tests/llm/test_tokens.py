@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lexgauge.llm import simple8b
-from lexgauge.llm.queries import END_ID, WORDS
+from lexgauge.llm.pieces import Encoder
+from lexgauge.llm.queries import BYTES, END_ID, WORDS
 from tests.llm import plain
 
 
@@ -41,16 +42,47 @@ def test_an_escaped_value_that_looks_like_an_escape():
     assert (simple8b.decode(words, len(ids), blocks) == ids).all()
 
 
-def test_pieces_give_the_ids_of_the_text():
-    cache = simple8b.WordCache(WORDS, most=50)
-    tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
-    texts = [t or "" for _, t, *_ in plain.odd_documents()]
-    texts += ["it's  we'll\u00a0you\u3000x\u2028y", "e\u0301a \u0301b", "\x1cfile\x1fsep", "<|endoftext|> a", "İ ΣΑΣ"]
-    for text, ids in zip(texts, cache.encode(texts)):
+TEXTS = [
+    *(t or "" for _, t, *_ in plain.odd_documents()),
+    "it's  we'll\u00a0you\u3000x\u2028y", "e\u0301a \u0301b", "\x1cfile\x1fsep", "<|endoftext|> a", "İ ΣΑΣ", "ÀÉÎ ÿ ß µ ª º ×÷ x²³ ¼½",
+    "a <|endoftext|> b", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|>", "nul\0nul !\0 ! \0", "Long" * 10 + " " + "é" * 17 + " !?" * 9 + "!" * 40,
+    "exactlysixteen16 exactlysixteenab exactlysevenabcde", "\x85a\xa0b", "\xad soft", "1234 12.5e3 v2_x __", "a", " ", "\n",
+]
+
+
+@pytest.mark.parametrize("most", [3, 50, 1_000_000])
+def test_pieces_give_the_ids_of_the_text(most):
+    encoder, tokenizer = Encoder(WORDS, most=most), Tokenizer.from_file(WORDS)
+    assert encoder.cuts
+    for _ in range(2):
+        for text, ids in zip(TEXTS, encoder.encode(TEXTS), strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode([]) == []
+
+
+ENCODER, TOKENIZER = Encoder(WORDS, most=200), Tokenizer.from_file(WORDS)
+
+
+@given(st.lists(st.text(st.one_of(st.characters(max_codepoint=255), st.characters(codec="utf-8")), max_size=60), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_any_texts(texts):
+    for text, ids in zip(texts, ENCODER.encode(texts), strict=True):
+        assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    encoder, tokenizer = Encoder(BYTES), Tokenizer.from_file(BYTES)
+    assert not encoder.cuts
+    for text, ids in zip(TEXTS, encoder.encode(TEXTS), strict=True):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_many_pieces_in_one_text():
+    text = " ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwxyz")
+    (ids,) = Encoder(WORDS, most=10).encode([text])
+    assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("change", [lambda d: d, plain.clashing])
 def test_files(spark, tmp_path, change):
     docs = change(plain.documents(spark))
