@@ -174,7 +174,9 @@ def quality(docs: DataFrame, rules: Rules = Rules(), reference: DataFrame | None
     """
     reference = references(docs, rules) if reference is None else reference
     df = statistics(docs).join(reference, "language", "left")
-    known = F.filter(split_words(F.lower("t")), lambda w: F.array_contains("ref_words", w))
+    # Long words are no common words; lowering a word makes it no shorter.
+    short = F.transform(F.filter("words", lambda w: F.length(w) <= rules.word_length), lambda w: F.lower(w))
+    known = F.filter(short, lambda w: F.array_contains("ref_words", w))
     df = df.withColumn("known", F.coalesce(known, F.array().cast("array<string>"))).drop("words", "t")
     share = F.transform(
         F.arrays_zip("ref_words", "ref_shares"),
