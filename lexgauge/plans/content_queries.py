@@ -332,8 +332,7 @@ def _(spark, sf_dir):
     SELECT doc_id, nearest, cosine FROM documents LEFT JOIN best USING (doc_id)""",
 )
 def _(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    found = materialize(vectors.text_vectors(docs).join(docs.select("doc_id", "lang"), "doc_id"))
+    found = vectors.labelled_vectors(_docs(spark, sf_dir), "lang")
     return vectors.nearest_label(found, vectors.label_centroids(found, "lang"))
 
 

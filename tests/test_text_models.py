@@ -86,6 +86,39 @@ def test_nearest_label_by_plain_angles(spark, monkeypatch, block):
             assert met[best[k]["nearest"]] == max(met.values())
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_add_up_where_they_are(spark):
+    """No lambda per label and term, and no sort by a lambda: the growth in seconds of doc_vector_nearest."""
+    docs = spark.createDataFrame([(1, "red fox", "a"), (2, "blue sky", "b"), (3, "red sky", None)], DOCS + ", lang string")
+    assert "array_sort" not in plan_of(vectors.term_frequencies(docs))
+    found = vectors.labelled_vectors(docs, "lang")
+    assert "Exchange" not in plan_of(found)
+    plan = plan_of(vectors.nearest_label(found, vectors.label_centroids(found, "lang")))
+    assert "lambda" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [r["nearest"] for r in vectors.nearest_label(found, vectors.label_centroids(found, "lang")).orderBy("doc_id").collect()][:2] == ["a", "b"]
+
+
+def test_labels_of_repeated_ids_meet_as_in_a_join(spark):
+    rows = [(1, "red fox", "a"), (1, "sea", "b"), (1, "sea", None), (2, "fox", None), (None, "fox", "a"), (None, "sky", "b"), (3, None, "b"), (4, "", "a")]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    joined = vectors.text_vectors(docs).join(docs.select("doc_id", "lang"), "doc_id")
+
+    def shape(df):
+        return sorted((r["doc_id"], str(r["lang"]), round(r["norm"], 9), [(t["bucket"], t["n"]) for t in r["terms"]]) for r in df.collect())
+
+    assert shape(vectors.labelled_vectors(docs, "lang")) == shape(joined)
+
+
+def test_no_label_and_no_length(spark):
+    docs = spark.createDataFrame([(1, "red fox", None), (2, None, None)], DOCS + ", lang string")
+    found = vectors.labelled_vectors(docs, "lang")
+    rows = vectors.nearest_label(found, vectors.label_centroids(found, "lang")).collect()
+    assert sorted(map(tuple, rows)) == [(1, None, None), (2, None, None)]
+
+
 @pytest.fixture(scope="module")
 def fitted(spark, tmp_path_factory):
     docs = read_table(spark, "/root/testdata/sf0.1", "documents")
