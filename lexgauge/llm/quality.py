@@ -44,19 +44,21 @@ class Rules:
     word_distance: float = 0.42
 
 
-def _removed(text: Column, pattern: str) -> Column:
-    """How many characters a pattern takes out of the text."""
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("bigint")
+def _with_classes(df: DataFrame) -> DataFrame:
+    """Adds the counts of the character classes of ``t`` and of its symbols.
 
-
-def _class_counts(text: Column) -> list[Column]:
-    counts = [_removed(text, p).alias(f"c_{n}") for n, p in CLASSES.items()]
-    return [*counts, _removed(text, SPACE_CLASS + "+").alias("c_space"), F.length(text).cast("bigint").alias("c_all")]
-
-
-def _with_rest(df: DataFrame) -> DataFrame:
+    The classes share no character, so each is taken out of what the ones
+    before left, and all but the first see short remainders.  Symbols are rest.
+    """
+    df = df.withColumn("c_all", F.length("t").cast("bigint")).withColumn("_left", F.col("t"))
+    # White space second: without the letters it stands in few long runs.
+    for name in sorted(CLASS_NAMES[:-1], key=lambda n: (n != "lower", n != "space")):
+        df = df.withColumn("_less", F.regexp_replace("_left", CLASSES.get(name, SPACE_CLASS + "+"), ""))
+        df = df.withColumn(f"c_{name}", (F.length("_left") - F.length("_less")).cast("bigint"))
+        df = df.drop("_left").withColumnRenamed("_less", "_left")
+    symbols = F.length("_left") - F.length(F.regexp_replace("_left", r"[#*$%&|<>]+", ""))
     known = sum((F.col(f"c_{n}") for n in CLASS_NAMES[:-1]), F.lit(0))
-    return df.withColumn("c_rest", F.col("c_all") - known)
+    return df.withColumn("n_symbols", symbols.cast("bigint")).withColumn("c_rest", F.col("c_all") - known).drop("_left")
 
 
 def _text(docs: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     or word reaches it once per task.  Ties between words fall to the smaller word.
     """
     source = _text(docs)
-    classes = _with_rest(source.select("language", *_class_counts(F.col("t")))).groupBy("language").agg(
+    classes = _with_classes(source.select("language", "t")).groupBy("language").agg(
         *(F.sum(f"c_{n}").alias(f"c_{n}") for n in CLASS_NAMES), F.sum("c_all").alias("c_all")
     )
     classes = classes.select(
@@ -135,18 +137,17 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 def statistics(docs: DataFrame) -> DataFrame:
     """``row`` with language, word list, counts of the base rules and class counts."""
     lines = F.filter(F.split("t", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    df = _text(docs).select("row", "language", "t", split_words(F.col("t")).alias("words"), lines.alias("lines"))
-    df = _with_rest(
-        df.select(
-            "row",
-            "language",
-            "t",
-            "words",
-            F.size("words").cast("bigint").alias("n_words"),
-            _removed(F.col("t"), r"[#*$%&|<>]+").alias("n_symbols"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-            *_class_counts(F.col("t")),
-        )
+    counts = ["n_symbols", "c_all", *(f"c_{n}" for n in CLASS_NAMES)]
+    df = _with_classes(_text(docs))
+    df = df.select("row", "language", "t", *counts, split_words(F.col("t")).alias("words"), lines.alias("lines"))
+    df = df.select(
+        "row",
+        "language",
+        "t",
+        "words",
+        F.size("words").cast("bigint").alias("n_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        *counts,
     ).withColumn("word_chars", F.col("c_all") - F.col("c_space"))
     return _repeat_words(df)
 
@@ -165,6 +166,12 @@ def _js(pairs: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def _mark(place: int) -> str:
+    """One character for a place, past ASCII and beside the surrogates."""
+    code = 0x100 + place
+    return chr(code if code < 0xD800 else code + 0x800)
+
+
 def quality(docs: DataFrame, rules: Rules = Rules(), reference: DataFrame | None = None) -> DataFrame:
     """Score all rows: ``row``, the counts, both distances, ``base_failed`` and ``kept``.
 
@@ -174,14 +181,17 @@ def quality(docs: DataFrame, rules: Rules = Rules(), reference: DataFrame | None
     """
     reference = references(docs, rules) if reference is None else reference
     df = statistics(docs).join(reference, "language", "left")
-    # Long words are no common words; lowering a word makes it no shorter.
-    short = F.transform(F.filter("words", lambda w: F.length(w) <= rules.word_length), lambda w: F.lower(w))
-    known = F.filter(short, lambda w: F.array_contains("ref_words", w))
-    df = df.withColumn("known", F.coalesce(known, F.array().cast("array<string>"))).drop("words", "t")
+    most = reference.agg(F.max(F.size("ref_words"))).first()[0] or 0
+    marks = F.lit("".join(map(_mark, range(most + 1))))
+    # Long words are no common words; lowering a word makes it no shorter.  Every short word becomes one
+    # character, its place among the common words (0: none), so that a word is counted by a search in one string.
+    short = F.filter("words", lambda w: F.length(w) <= rules.word_length)
+    place = F.transform(short, lambda w: F.substring(marks, F.coalesce(F.array_position("ref_words", F.lower(w)), F.lit(0)).cast("int") + 1, 1))
+    df = df.withColumn("known", F.array_join(place, "")).drop("words", "t")
     share = F.transform(
         F.arrays_zip("ref_words", "ref_shares"),
-        lambda r: F.struct(
-            ((F.size("known") - F.size(F.array_remove("known", r["ref_words"]))) / F.greatest("n_words", F.lit(1))).alias("p"),
+        lambda r, k: F.struct(
+            ((F.length("known") - F.length(F.replace("known", F.substring(marks, k + 2, 1), F.lit("")))) / F.greatest("n_words", F.lit(1))).alias("p"),
             r["ref_shares"].alias("q"),
         ),
     )

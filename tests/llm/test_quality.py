@@ -1,4 +1,6 @@
+import math
 import re
+import unicodedata
 
 import pytest
 
@@ -43,3 +45,33 @@ def test_columns_pass_through(spark):
 
 def test_empty(spark):
     assert scored(plain.documents(spark, [])) == []
+
+
+def test_classes_are_taken_out_one_after_the_other(spark):
+    """Every pass but the first sees what the ones before left: the CPU seconds of op8_quality."""
+    texts = ["Ab1 $\t\n#é漢Ω😀𝒜𝒶\u00a0|", "", None, " \n ", "ABC", "a b  c", "x" * 3000, "İI Σας"]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id int, text string, lang string")
+    counted = quality.statistics(docs)
+    for row in counted.collect():
+        t = row["row"]["text"] or ""
+        kinds = [unicodedata.category(c) for c in t]
+        lower, upper = kinds.count("Ll"), kinds.count("Lu")
+        digit, space = sum(c in "0123456789" for c in t), sum(c in " \t\n\x0b\f\r" for c in t)
+        assert (row["c_lower"], row["c_upper"], row["c_digit"], row["c_space"]) == (lower, upper, digit, space)
+        assert (row["c_all"], row["c_rest"]) == (len(t), len(t) - lower - upper - digit - space)
+        assert row["n_symbols"] == sum(c in "#*$%&|<>" for c in t)
+    plan = quality.quality(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "array_remove" not in plan
+
+
+def test_shares_of_common_words_by_plain_counting(spark):
+    texts = ["The cat THE dog " * 15, "the ÉTÉ été cat longest " * 12 + "İx", "dog " * 60]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id int, text string, lang string")
+    reference = quality.references(docs).first()
+    for row in quality.quality(docs).collect():
+        words = row["row"]["text"].lower().split()
+        p = [words.count(w) / len(words) for w in reference["ref_words"]]
+        q = list(reference["ref_shares"])
+        p, q = [*p, max(1 - sum(p), 0.0)], [*q, max(1 - sum(q), 0.0)]
+        js = sum(x * math.log2(x / ((a + b) / 2)) for a, b in zip(p, q) for x in (a, b) if x > 0) / 2
+        assert row["word_distance"] == pytest.approx(math.sqrt(max(js, 0)), abs=2e-6)
