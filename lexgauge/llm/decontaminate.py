@@ -144,6 +144,9 @@ class Search:
         self.coded = [np.array([self.vocabulary[w] for w in words], np.uint32) for _, words in self.items]
         self.slack = max((int(self.rate * len(c)) for c in self.coded), default=0)
         self.classes = self._classes()
+        every = sorted(piece for c in self.classes for piece in zip(c.places, c.offsets))
+        #: Every piece (item place, offset) and its number in that order.
+        self.numbers = {piece: number for number, piece in enumerate(every)}
         steps = max((c.steps for c in self.classes), default=0)
         self.factors = _odd(chance, (self.walks, steps))
         self.shifts = chance.integers(0, 1 << 32, (self.walks, steps), np.uint64).astype(np.uint32)
@@ -186,21 +189,32 @@ class Search:
         """The word at each step of the walks from ``starts``."""
         padded = np.concatenate([tokens, np.zeros(steps + 1, tokens.dtype)])
         words = np.empty((steps, len(starts)), np.uint32)
-        at = starts.astype(np.int64)
+        at = starts.astype(np.intp)
+        moves = np.empty(len(starts), np.uint32)
+        # In place: a walk is many steps over arrays that stay in the cache.
         for j in range(steps):
-            words[j] = word = padded[at]
-            at += ((word ^ self.shifts[walk, j]) * self.factors[walk, j] >> np.uint32(31)).astype(np.int64)
+            np.take(padded, at, out=words[j], mode="clip")
+            np.bitwise_xor(words[j], self.shifts[walk, j], out=moves)
+            np.multiply(moves, self.factors[walk, j], out=moves)
+            np.right_shift(moves, np.uint32(31), out=moves)
+            np.add(at, moves, out=at, casting="unsafe")
         return words
 
     def _keys(self, words: np.ndarray, c: Lengths, walk: int) -> np.ndarray:
         """Keys (samples, walks): the sampled steps, mixed into one number."""
         out = np.empty((self.samples, words.shape[1]), np.uint64)
+        high = np.empty(words.shape[1], np.uint64)
         for sample in range(self.samples):
-            key = np.zeros(words.shape[1], np.uint64)
-            for step, factor in zip(c.chosen[walk, sample], self.mix):
-                key = (key ^ words[step]) * (factor | np.uint64(1) << np.uint64(40))
-                key ^= key >> np.uint64(29)
-            out[sample] = key * np.uint64(0x9E3779B97F4A7C15)
+            key = out[sample]
+            for place, (step, factor) in enumerate(zip(c.chosen[walk, sample], self.mix)):
+                if place:
+                    np.bitwise_xor(key, words[step], out=key)
+                else:
+                    key[:] = words[step]
+                np.multiply(key, factor | np.uint64(1) << np.uint64(40), out=key)
+                np.right_shift(key, np.uint64(29), out=high)
+                np.bitwise_xor(key, high, out=key)
+            np.multiply(key, np.uint64(0x9E3779B97F4A7C15), out=key)
         return out
 
     def candidates(self, tokens: np.ndarray) -> np.ndarray:
@@ -214,7 +228,7 @@ class Search:
                 end = np.minimum(np.arange(m, m + len(tokens)), len(tokens))
                 able |= known[end] - known[:-1] >= m - slack
             starts = np.flatnonzero(able)
-            places, offsets = np.array(c.places), np.array(c.offsets)
+            numbers = np.array([self.numbers[piece] for piece in zip(c.places, c.offsets)], np.int64)
             for begin in range(0, len(starts), CHUNK):
                 part = starts[begin : begin + CHUNK]
                 for walk in range(self.walks):
@@ -228,8 +242,12 @@ class Search:
                         times = np.searchsorted(c.keys[walk, sample], keys[sample, maybe], "right") - low
                         row = np.repeat(np.arange(len(maybe)), times)
                         piece = c.order[walk, sample][np.arange(len(row)) - np.repeat(np.cumsum(times) - times - low, times)]
-                        found.append(np.stack([part[maybe[row]], places[piece], offsets[piece]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+                        found.append(part[maybe[row]] * len(self.numbers) + numbers[piece])
+        if not found:
+            return np.zeros((0, 3), np.int64)
+        # One number each sorts faster than three.
+        starts, numbers = np.divmod(np.unique(np.concatenate(found)), len(self.numbers))
+        return np.column_stack([starts, np.array(list(self.numbers), np.int64)[numbers]])
 
     def matches(self, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
         """(text number, item_id, fewest edits, first word of the closest stretch) for each contaminated text and item."""
@@ -250,7 +268,8 @@ class Search:
         low = np.maximum(edges[owner], begin - 2 * slack[place])
         high = np.minimum(edges[owner + 1] - len(gap), begin + sizes[place] + 2 * slack[place])
         order = np.lexsort((low, owner, place))
-        place, owner, low, high = place[order], owner[order], low[order], high[order]
+        place, owner, low, high = place[order], owner[order].tolist(), low[order].tolist(), high[order].tolist()
+        begins = edges.tolist()
         best: dict[tuple[int, int], tuple[int, int]] = {}
         at = 0
         for number in np.unique(place).tolist():
@@ -261,22 +280,26 @@ class Search:
             last = int(np.searchsorted(place, number, "right"))
             while at < last:
                 # Stretches that overlap are one.
-                text, first, end = int(owner[at]), int(low[at]), int(high[at])
+                text, first, end = owner[at], low[at], high[at]
                 at += 1
                 while at < last and owner[at] == text and low[at] <= end:
-                    end = max(end, int(high[at]))
+                    end = max(end, high[at])
                     at += 1
                 if end - first < n - k:
                     continue
                 part = tokens[first:end]
-                held = np.concatenate(([0], np.cumsum(inside[part])))
+                known = inside[part]
+                # Most stretches hold too few words of the item even as a whole.
+                if np.count_nonzero(known) < n - k:
+                    continue
+                held = np.concatenate(([0], np.cumsum(known)))
                 if (held[n:] - held[:-n]).max(initial=held[-1] if len(part) < n else 0) < n - k:
                     continue
                 words = part.tolist()
                 away, stop = _closest(pattern, words)
                 if away > k or away >= best.get((text, number), (n, 0))[0]:
                     continue
-                best[text, number] = away, first - int(edges[text]) + _first_word(pattern, words, stop)
+                best[text, number] = away, first - begins[text] + _first_word(pattern, words, stop)
         return [(text, self.items[number][0], away, start) for (text, number), (away, start) in sorted(best.items())]
 
 

@@ -139,3 +139,17 @@ def test_the_start_is_the_first_word_of_the_stretch():
     words = plain.prose(9, 60, 3000).split()
     around = plain.prose(8, 50, 3000).split()
     assert decontaminate.Search([(3, words)]).matches([around, around[:20] + words[2:] + around[20:]]) == [(1, 3, 2, 20)]
+
+
+def test_stretches_with_too_few_words_are_not_counted_by_window(monkeypatch):
+    """A count of the whole stretch comes first: the CPU seconds of op6_contaminated."""
+    item = [f"w{i}" for i in range(20)]
+    search = decontaminate.Search([(1, item)])
+    text = ["x"] * 50 + item[:5] + ["x"] * 100 + item + ["x"] * 30
+    # Every start as a candidate, so that stretches without the item are looked at, too.
+    monkeypatch.setattr(search, "candidates", lambda tokens: np.array([[10, 0, 0], [155, 0, 0]]))
+    summed = []
+    plain_sum = np.cumsum
+    monkeypatch.setattr(decontaminate.np, "cumsum", lambda *a, **k: summed.append(1) or plain_sum(*a, **k))
+    assert search.matches([text]) == [(0, 1, 0, 155)]
+    assert len(summed) == 2  # the edges of the texts, and the one stretch that can match
