@@ -41,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
-#: Words of a piece of work inside a batch; a longer document comes alone.
-PIECE = 1 << 20
+#: Words of a piece of work inside a batch; a longer document comes alone.  Two pieces are held at a time, as lists of words.
+PIECE = 1 << 17
 #: Words of benchmark text that travel to the tasks at once; more make more passes.
 PASS_WORDS = 1 << 21
 #: Windows that walk together.
@@ -303,11 +303,14 @@ class Search:
         return [(text, self.items[number][0], away, start) for (text, number), (away, start) in sorted(best.items())]
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
-    """Runs of split texts with a bounded number of words, each with the number of its first text."""
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, list[list[str]]]]:
+    """Runs of split texts with a bounded number of words, each with the number of its first text.
+
+    Texts are taken out of the batch one by one, so that no second copy of it is held.
+    """
     held, begin, size = [], 0, 0
     for i, text in enumerate(texts):
-        words = words_of(text)
+        words = words_of(text.as_py())
         if held and size + len(words) > PIECE:
             yield begin, held
             held, begin, size = [], i, 0
@@ -340,7 +343,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **choices) -> DataFrame:
         def run(stream: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
             for batch in stream:
                 names = batch.column("doc_id")
-                for begin, texts in _pieces(batch.column("text").to_pylist()):
+                for begin, texts in _pieces(batch.column("text")):
                     found = search.matches(texts)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -364,7 +367,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, **choices) -> DataFrame:
         def run(stream: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
             for batch in stream:
                 clean = np.ones(batch.num_rows, bool)
-                for begin, texts in _pieces(batch.column("text").to_pylist()):
+                for begin, texts in _pieces(batch.column("text")):
                     clean[[begin + f[0] for f in search.matches(texts)]] = False
                 yield batch.filter(pa.array(clean))
 

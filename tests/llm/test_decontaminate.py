@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -153,3 +156,37 @@ def test_stretches_with_too_few_words_are_not_counted_by_window(monkeypatch):
     monkeypatch.setattr(decontaminate.np, "cumsum", lambda *a, **k: summed.append(1) or plain_sum(*a, **k))
     assert search.matches([text]) == [(0, 1, 0, 155)]
     assert len(summed) == 2  # the edges of the texts, and the one stretch that can match
+
+
+class Docs:
+    """Stands for a table of one batch; what is asked of the tasks runs at once."""
+
+    schema = "doc_id bigint, text string"
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+@pytest.mark.parametrize("operator", [decontaminate.keep_clean, decontaminate.contaminated])
+def test_a_batch_is_not_held_as_words(monkeypatch, operator):
+    item = plain.prose(1, 30, 3000)
+    texts = [plain.prose(10 + d, 2000, 3000) for d in range(20)] * 30 + [f"before {item} after", None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    search = decontaminate.Search([(5, item.split())])
+    monkeypatch.setattr(decontaminate, "searches", lambda benchmark, **choices: [search])
+    tracemalloc.start()
+    try:
+        out = operator(Docs(batch), None)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    found = [i for b in out for i in b.column("doc_id").to_pylist()]
+    assert found == ([*range(600), 601] if operator is decontaminate.keep_clean else [600])
+    # All words as Python strings would be about 70 MB.
+    assert peak < 40e6
