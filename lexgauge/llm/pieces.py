@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import re
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized
 
 import numpy as np
 
@@ -178,6 +178,9 @@ class Encoder:
         # A capital sigma is lowered by its place in the word, and not so by the tokenizer.
         if "'" in text or "\u03a3" in text or not (is_normalized("NFC", text) and is_normalized("NFC", lowered)):
             return self.split(text)
+        # What this Python does not know may be a letter to the tokenizer.
+        if any(category(c) == "Cn" for c in set(text)):
+            return self.split(text)
         return self.cut(lowered)
 
     def _by_text(self, texts: list[str]) -> list[np.ndarray]:
@@ -217,9 +220,12 @@ class Encoder:
             new = order[np.concatenate(([True], (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])))]
             line = lowered.decode("latin-1")
             learned = self._learn([line[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
+            table = self.table
             self._make_room(len(new))
             self.table.add(first[new], second[new], *learned)
-            slot[unknown] = self.table.find(first[unknown], second[unknown])
+            # In a larger table the pieces that were known have moved, too.
+            again = unknown if self.table is table else np.flatnonzero(short)
+            slot[again] = self.table.find(first[again], second[again])
         begin, count = self.table.begin[slot], self.table.count[slot]
         for k in np.flatnonzero(~short).tolist():
             piece = lowered[start[k] : end[k]].decode("latin-1")

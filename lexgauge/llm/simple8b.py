@@ -167,7 +167,7 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _pieces(texts: Iterator[str | None], characters: int = 1 << 20) -> Iterator[list[str]]:
+def _pieces(texts: Iterator[str | None], characters: int = 1 << 17) -> Iterator[list[str]]:
     """Groups of texts with a bounded total length; a longer text comes alone."""
     held, size = [], 0
     for text in texts:
@@ -237,7 +237,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
 
 def _unpack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            # Row by row, as a row holds many documents.
+            (row,) = batch.slice(at, 1).to_pylist()
             ids = decode(
                 np.frombuffer(row["words"], "<u8"), row["n_ids"], np.frombuffer(row["block_words"], "<u4").astype(np.int64)
             ).astype("<u4")

@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,6 +72,12 @@ def test_any_texts(texts):
         assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_characters_younger_than_this_python():
+    texts = [f"A{chr(k)} {chr(k)}b 1{chr(k)}." for k in (0x13460, 0x10D4A, 0x1C89, 0xA7CB, 0x378, 0x1FAE9)]
+    for text, ids in zip(texts, Encoder(WORDS).encode(texts), strict=True):
+        assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 def test_another_tokenizer_encodes_whole_texts():
     encoder, tokenizer = Encoder(BYTES), Tokenizer.from_file(BYTES)
     assert not encoder.cuts
@@ -83,6 +91,36 @@ def test_many_pieces_in_one_text():
     assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_known_pieces_when_the_table_grows():
+    known = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop")
+    new = " ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwxyz")
+    encoder = Encoder(WORDS, most=100)
+    for text in (known, f"{known} {new}", known):
+        (ids,) = encoder.encode([text])
+        assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_rows_of_a_file_are_read_one_by_one():
+    ids = np.random.default_rng(1).integers(0, 49_000, simple8b.ROW_IDS).astype(np.uint64)
+    words, blocks = simple8b.encode(ids)
+    row = {
+        "start": 0, "doc_ids": [7, None], "n_tokens": [len(ids) - 3, 3], "n_ids": len(ids),
+        "words": words.astype("<u8").tobytes(), "block_words": blocks.astype("<u4").tobytes(),
+    }
+    kinds = {"doc_ids": pa.list_(pa.int64()), "n_tokens": pa.list_(pa.int32())}
+    table = {name: pa.array([value] * 100, kinds.get(name)) for name, value in row.items()}
+    batch = pa.RecordBatch.from_pydict(table)
+    tracemalloc.start()
+    try:
+        read = [r.column("ids_crc32").to_pylist() for r in simple8b._unpack(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    data = ids.astype("<u4").tobytes()
+    assert read == [[zlib.crc32(data[:-12]), zlib.crc32(data[-12:])]] * 100
+    assert peak < batch.nbytes
+
+
 @pytest.mark.parametrize("change", [lambda d: d, plain.clashing])
 def test_files(spark, tmp_path, change):
     docs = change(plain.documents(spark))
