@@ -104,20 +104,21 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def _repeat_words(df: DataFrame) -> DataFrame:
     """Words inside windows of eight that occur twice or more in the text.
 
-    Window hashes are built by doubling (two, four, eight words).  Only texts
-    with an equal pair of hashes are sorted to find where they stand.
+    Only texts with an equal pair of four words get hashes of eight, and only
+    those with an equal pair of eights are sorted to find where they stand.
+    Places too near the end hash what is there; those of eights are cut off.
     """
 
-    def doubled(name: str, step: int) -> Column:
-        size = F.greatest(F.size(name) - step, F.lit(0))
-        return F.zip_with(F.slice(name, F.lit(1), size), F.slice(name, F.lit(1 + step), size), lambda a, b: F.xxhash64(a, b))
+    def repeats(name: str) -> Column:
+        return F.size(F.array_distinct(name)) < F.size(name)
 
-    df = df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
-    for step, (old, new) in zip((1, 2, 4), (("h1", "h2"), ("h2", "h4"), ("h4", "h8"))):
-        df = df.withColumn(new, doubled(old, step)).drop(old)
+    df = df.withColumn("h4", F.transform("words", lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in (1, 2, 3)))))
+    both = F.transform("h4", lambda h, i: F.xxhash64(h, F.get("h4", i + 4)))
+    eights = F.slice(both, F.lit(1), F.greatest(F.size("h4") - (WINDOW - 1), F.lit(0)))
+    df = df.withColumn("h8", F.when(repeats("h4"), eights).otherwise(F.array().cast("array<bigint>"))).drop("h4")
     placed = F.sort_array(F.transform("h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    df = df.withColumn("placed", F.when(F.size(F.array_distinct("h8")) < F.size("h8"), placed).otherwise(none)).drop("h8")
+    df = df.withColumn("placed", F.when(repeats("h8"), placed).otherwise(none)).drop("h8")
 
     def again(x: Column, k: Column) -> Column:
         before, after = F.get("placed", k - 1)["h"], F.get("placed", k + 1)["h"]
@@ -166,10 +167,30 @@ def _js(pairs: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def _mark(place: int) -> str:
-    """One character for a place, past ASCII and beside the surrogates."""
-    code = 0x100 + place
-    return chr(code if code < 0xD800 else code + 0x800)
+def _wrapped(word: Column) -> Column:
+    """A word, or words joined by \\t\\n, so that each stands between \\n and \\t, which no word holds."""
+    return F.concat(F.lit("\n"), word, F.lit("\t"))
+
+
+def _sizes(known: Column, words: Column) -> Column:
+    """Bytes of ``known`` before and after each of ``words``, one after the other, is taken out of it."""
+
+    def after(a: Column) -> Column:
+        return F.concat(a["sizes"], F.array(F.octet_length(a["left"])))
+
+    start = F.struct(known.alias("left"), F.array().cast("array<int>").alias("sizes"))
+    return F.aggregate(
+        words,
+        start,
+        lambda a, w: F.struct(F.replace(a["left"], _wrapped(w), F.lit("")).alias("left"), after(a).alias("sizes")),
+        after,
+    )
+
+
+def _all_common(reference: DataFrame, most: int = 10_000) -> list[str] | None:
+    """The common words of all languages, or None where they are too many for a condition."""
+    words = reference.select(F.explode("ref_words").alias("word")).distinct().limit(most + 1).collect()
+    return [r["word"] for r in words] if len(words) <= most else None
 
 
 def quality(docs: DataFrame, rules: Rules = Rules(), reference: DataFrame | None = None) -> DataFrame:
@@ -181,21 +202,28 @@ def quality(docs: DataFrame, rules: Rules = Rules(), reference: DataFrame | None
     """
     reference = references(docs, rules) if reference is None else reference
     df = statistics(docs).join(reference, "language", "left")
-    most = reference.agg(F.max(F.size("ref_words"))).first()[0] or 0
-    marks = F.lit("".join(map(_mark, range(most + 1))))
-    # Long words are no common words; lowering a word makes it no shorter.  Every short word becomes one
-    # character, its place among the common words (0: none), so that a word is counted by a search in one string.
-    short = F.filter("words", lambda w: F.length(w) <= rules.word_length)
-    place = F.transform(short, lambda w: F.substring(marks, F.coalesce(F.array_position("ref_words", F.lower(w)), F.lit(0)).cast("int") + 1, 1))
-    df = df.withColumn("known", F.array_join(place, "")).drop("words", "t")
+    common = _all_common(reference)
+
+    # Long words are no common words; lowering a word makes it no shorter.
+    def known(word: Column) -> Column:
+        short = F.length(word) <= rules.word_length
+        return short if common is None else short & F.lower(word).isin(common)
+
+    # Where the words of all languages are too many, others stay in the string and count for nothing.
+    left = F.lower(F.array_join(F.filter("words", known), "\t\n"))
+    df = df.withColumn("sizes", _sizes(_wrapped(left), F.col("ref_words"))).drop("words", "t")
     share = F.transform(
         F.arrays_zip("ref_words", "ref_shares"),
         lambda r, k: F.struct(
-            ((F.length("known") - F.length(F.replace("known", F.substring(marks, k + 2, 1), F.lit("")))) / F.greatest("n_words", F.lit(1))).alias("p"),
+            (
+                (F.get("sizes", k) - F.get("sizes", k + 1))
+                / F.octet_length(_wrapped(r["ref_words"]))
+                / F.greatest("n_words", F.lit(1))
+            ).alias("p"),
             r["ref_shares"].alias("q"),
         ),
     )
-    df = df.withColumn("pairs", share).drop("known", "ref_words", "ref_shares")
+    df = df.withColumn("pairs", share).drop("sizes", "ref_words", "ref_shares")
     left = F.aggregate("pairs", F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("q")), lambda a, x: F.struct((a["p"] - x["p"]).alias("p"), (a["q"] - x["q"]).alias("q")))
     df = df.withColumn("pairs", F.concat("pairs", F.array(F.struct(F.greatest(left["p"], F.lit(0.0)).alias("p"), F.greatest(left["q"], F.lit(0.0)).alias("q")))))
     classes = F.array(

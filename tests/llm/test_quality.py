@@ -75,3 +75,18 @@ def test_shares_of_common_words_by_plain_counting(spark):
         p, q = [*p, max(1 - sum(p), 0.0)], [*q, max(1 - sum(q), 0.0)]
         js = sum(x * math.log2(x / ((a + b) / 2)) for a, b in zip(p, q) for x in (a, b) if x > 0) / 2
         assert row["word_distance"] == pytest.approx(math.sqrt(max(js, 0)), abs=2e-6)
+
+
+def test_common_words_are_not_looked_up_one_by_one(spark, monkeypatch):
+    """No search through the common words for every word, no hashes of eight without equal fours: CPU seconds of op8_quality."""
+    texts = ["the THE of\tof\nthe É É " * 12, "of \x0bthe\x0c é the\r" * 20 + "longer-word " * 3, plain.prose(3, 80, 300), "a b c d e f g h " * 2, "", None]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id int, text string, lang string")
+    scores = quality.quality(docs)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan and "zip_with" not in plan
+    found = {r["row"]["doc_id"]: r for r in scores.collect()}
+    for k, t in enumerate(texts):
+        assert found[k]["n_repeat_words"] == plain.repeat_words(t or "")
+    # The condition on the words of all languages saves time only.
+    monkeypatch.setattr(quality, "_all_common", lambda reference: None)
+    assert {r["row"]["doc_id"]: r for r in quality.quality(docs).collect()} == found
