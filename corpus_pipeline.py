@@ -14,6 +14,18 @@ from lexgauge.session import materialize
 from lexgauge.sources.tables import read_table
 
 
+#: Bytes of an Arrow batch. What goes to a Python worker and what comes back is held on both sides, beside the JVM's heap.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Cut the session's Arrow batches by their bytes; Spark's own bound is 10,000 rows or 64 MB, whatever the texts.
+
+    A setting of the session, as Spark reads it when the rows are asked for. No result depends on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return keep_good(docs)
@@ -21,11 +33,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id."""
+    bound_batches(spark)
     return keep_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    bound_batches(spark)
     return keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
@@ -36,6 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the documents, as read back: doc_id, start, n_tokens, ids_crc32 and ids."""
+    bound_batches(spark)
     path = folder(spark, "tokens")
     simple8b.write_tokens(docs, path, WORDS, END_ID)
     return simple8b.read_tokens(spark, path)

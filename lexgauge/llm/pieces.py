@@ -36,6 +36,8 @@ BREAK = "\0"
 TOGETHER = 512
 #: Bytes of a piece that fit its key; longer ones are kept by their text.
 KEY = 16
+#: Pieces that a new table has room for; it doubles when it is half full, so it is as large as what a worker has met.
+ROOM = 1 << 14
 
 
 class Pool:
@@ -143,7 +145,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.pool, self.table = Pool(), PieceTable(self.most)
+        self.pool, self.table = Pool(), PieceTable(min(self.most, ROOM))
         self.texts: dict[str, tuple[int, int]] = {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -240,7 +242,7 @@ class Encoder:
         return np.split(ids, cuts[:-1]) if len(raws) > 1 else [ids]
 
     def _make_room(self, more: int) -> None:
-        """Double the table where one batch alone brings more than it can take."""
+        """Double the table while it would be more than half full."""
         while 2 * (self.table.size + more) > self.table.slots:
             old, self.table = self.table, PieceTable(self.table.slots)
             held = np.flatnonzero(old.begin >= 0)

@@ -1,3 +1,7 @@
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from lexgauge.llm import decontaminate
 from lexgauge.llm.queries import ORACLES, QUERIES
@@ -50,6 +54,24 @@ def test_stages_take_odd_documents(spark, sf_dir):
         assert stage(spark, docs.where("1 = 0"), sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("name", ["near_dedup", "decontamination", "token_output"])
+def test_batches_are_cut_by_their_bytes(spark, sf_dir, name):
+    def sizes(stream):
+        for batch in stream:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        dict(pipeline.STAGES)[name](spark, plain.documents(spark).where("1 = 0"), sf_dir)
+        texts = spark.range(0, 20, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+        found = texts.mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+    finally:
+        spark.conf.unset(key)
+    assert sum(r["rows"] for r in found) == 20
+    assert max(r["bytes"] for r in found) <= pipeline.BATCH_BYTES + (2 << 20)
+
+
 def test_queries_match_their_twins(spark, sf_dir):
     from tests.compare import difference, duck
 

@@ -100,6 +100,16 @@ def test_known_pieces_when_the_table_grows():
         assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_the_table_is_as_large_as_what_was_met():
+    encoder = Encoder(WORDS)
+    encoder.encode(["a few words"])
+    small = encoder.table.slots
+    text = " ".join(f"{a}{b}{c}{d}{e}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwxyz" for d in "aeiouy" for e in "klmnr")
+    (ids,) = encoder.encode([text])
+    assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert small <= 1 << 15 and 2 * encoder.table.size <= encoder.table.slots <= 1 << 17
+
+
 def test_rows_of_a_file_are_read_one_by_one():
     ids = np.random.default_rng(1).integers(0, 49_000, simple8b.ROW_IDS).astype(np.uint64)
     words, blocks = simple8b.encode(ids)
