@@ -8,14 +8,19 @@ per line, which splits and is the layout for large inputs.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgauge.functions.checksums import with_json_checksum
+from lexgauge.sources.file_digests import LEAST_BYTES, line_digests
 from lexgauge.sources.parsing import length_or_zero, parse_corrections
 
 AGENCIES_ROOT = "agencies"
 CORRECTIONS_ROOT = "ecfr_corrections"
+#: Files up to this size are hashed as one value.
+WHOLE_BYTES = 16 << 20
 
 _REFERENCE = "struct<title:int,chapter:string,subtitle:string,part:string>"
 _CHILD = f"struct<name:string,short_name:string,slug:string,cfr_references:array<{_REFERENCE}>>"
@@ -152,21 +157,49 @@ def load_corrections(
     return raw, parse_corrections(documents, keep=["checksum"])
 
 
-def file_checksums(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+def file_checksums(
+    spark: SparkSession,
+    paths: str | list[str],
+    glob: str | None = None,
+    whole_bytes: int = WHOLE_BYTES,
+) -> DataFrame:
     """Name, size and SHA-256 of whole files.
 
     The hash runs through a file from front to back, so one file is one task's
-    work; the reader refuses files over 2 GB.
+    work.  Files over ``whole_bytes`` are hashed line by line.  Those without a
+    plain extension, or that overlapping paths list twice, are held whole like
+    small ones, and the reader refuses them over 2 GB.
     """
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(paths).select(
+
+    def files(kind: str, chosen: Column, **options: str) -> DataFrame:
+        if glob:
+            options["pathGlobFilter"] = glob
+        return spark.read.format(kind).options(**options).load(paths).filter(chosen)
+
+    # Conditions on the listing alone, so that files left out are not opened.
+    extension = F.regexp_extract("_metadata.file_name", r"\.[A-Za-z0-9_-]+$", 0)
+    large = (F.col("_metadata.file_size") > max(whole_bytes, LEAST_BYTES)) & (extension != "")
+    listed = files("binaryFile", large).groupBy(extension.alias("extension"))
+    kinds = listed.agg(F.count("*").alias("files"), F.count_distinct("_metadata.file_path").alias("paths"))
+    by_line = sorted(r.extension for r in kinds.collect() if r.files == r.paths)
+    rest = ~(large & extension.isin(by_line)) if by_line else F.lit(True)
+    found = files("binaryFile", rest).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("source_file"),
         F.col("length").alias("file_bytes"),
         F.sha2("content", 256).alias("file_checksum"),
     )
+    for kind in by_line:
+        digests = line_digests(kind, partial(files, "text", large & (extension == kind)))
+        found = found.union(
+            digests.select(
+                "file_path",
+                F.substring_index("file_path", "/", -1).alias("source_file"),
+                "file_bytes",
+                "file_checksum",
+            )
+        )
+    return found
 
 
 def ingestion_log(counts: DataFrame, files: DataFrame, status: str = "success") -> DataFrame:
