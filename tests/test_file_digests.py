@@ -6,8 +6,9 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from lexgauge.sources.json_files import file_checksums
+from lexgauge.sources.json_files import file_checksums, ingestion_log
 
 MARK = b"\xef\xbb\xbf"
 EVERY_BYTE = bytes(range(256))
@@ -73,6 +74,14 @@ def test_files_larger_than_a_value(spark, large):
     assert sorted((r.source_file, r.file_checksum) for r in rows) == sorted(digests.items())
 
 
+def test_log_of_large_files(spark, large):
+    folder, digests = large
+    files = file_checksums(spark, folder, "*.parquet")
+    counts = files.select("file_path", F.lit(7).cast("bigint").alias("record_count"))
+    rows = ingestion_log(counts, files).collect()
+    assert sorted(map(tuple, rows)) == sorted((name, 7, digest, "success") for name, digest in digests.items())
+
+
 def test_lines_that_miss_bytes(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"one\ntwo\nthree\n")
     files = file_checksums(spark, str(tmp_path), whole_bytes=0)
